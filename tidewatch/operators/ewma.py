@@ -20,29 +20,34 @@ def _weights(alpha: float) -> tuple[Column, Column]:
     return F.lit(float(alpha)), F.lit(1.0 - float(alpha))
 
 
-def _fold(points: Column, start: Column, alpha: float) -> Column:
-    """Baselines before each reading of an ordered array, from ``start``."""
+def _next(baseline: Column, p: Column, alpha: float) -> Column:
+    """Baseline after a point; points without a reading leave it as it is."""
     new, old = _weights(alpha)
-    empty = F.array().cast("array<double>")
+    return F.when(p["reading"], new * p["rate"] + old * baseline).otherwise(baseline)
+
+
+def _fold(points: Column, start: Column, alpha: float) -> Column:
+    """Baselines before each point of an ordered array, from ``start``."""
     folded = F.aggregate(
         points,
-        F.struct(start.alias("b"), empty.alias("seen")),
+        F.struct(start.alias("b"), F.array().cast("array<double>").alias("seen")),
         lambda acc, p: F.struct(
-            (new * p["rate"] + old * acc["b"]).alias("b"),
-            F.concat(acc["seen"], F.array(acc["b"])).alias("seen"),
+            _next(acc["b"], p, alpha).alias("b"),
+            F.concat(acc["seen"], F.array(F.when(p["reading"], acc["b"]))).alias("seen"),
         ),
     )
     return folded["seen"]
 
 
 def _affine(points: Column, alpha: float) -> Column:
-    """(A, B) of a chunk, with its first reading for a series that starts here."""
-    new, old = _weights(alpha)
+    """(A, B) of a chunk."""
+    _, old = _weights(alpha)
     return F.aggregate(
         points,
         F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b")),
         lambda acc, p: F.struct(
-            (old * acc["a"]).alias("a"), (new * p["rate"] + old * acc["b"]).alias("b")
+            F.when(p["reading"], old * acc["a"]).otherwise(acc["a"]).alias("a"),
+            _next(acc["b"], p, alpha).alias("b"),
         ),
     )
 
@@ -50,30 +55,28 @@ def _affine(points: Column, alpha: float) -> Column:
 def _incoming(chunks: DataFrame, state: DataFrame | None) -> DataFrame:
     """Baseline at the start of every (service, chunk).
 
-    A service without a saved state starts from its own first reading.
+    A service without a saved state starts from its own first reading; it has
+    no baseline in the chunks before that.
     """
     ordered = chunks.groupBy("service").agg(
         F.sort_array(F.collect_list(F.struct("chunk", "a", "b", "first"))).alias("maps")
     )
-    start = F.col("maps")[0]["first"]
+    start = F.lit(None).cast("double")
     if state is not None:
         saved = state.select("service", F.col("ewma").alias("_saved"))
         ordered = ordered.join(saved, "service", "left")
-        start = F.coalesce(F.col("_saved"), start)
-    carry = F.aggregate(
-        F.col("maps"),
-        F.struct(
-            start.alias("b"),
-            F.array().cast("array<struct<chunk:bigint,b_in:double>>").alias("starts"),
-        ),
-        lambda acc, m: F.struct(
-            (m["a"] * acc["b"] + m["b"]).alias("b"),
-            F.concat(
-                acc["starts"],
-                F.array(F.struct(m["chunk"].alias("chunk"), acc["b"].alias("b_in"))),
-            ).alias("starts"),
-        ),
-    )
+        start = F.col("_saved")
+    starts = F.array().cast("array<struct<chunk:bigint,b_in:double>>")
+
+    def step(acc: Column, m: Column) -> Column:
+        b_in = F.coalesce(acc["b"], m["first"])
+        entry = F.struct(m["chunk"].alias("chunk"), b_in.alias("b_in"))
+        return F.struct(
+            (m["a"] * b_in + m["b"]).alias("b"),
+            F.concat(acc["starts"], F.array(entry)).alias("starts"),
+        )
+
+    carry = F.aggregate(F.col("maps"), F.struct(start.alias("b"), starts.alias("starts")), step)
     return ordered.select("service", F.inline(carry["starts"]))
 
 
@@ -87,17 +90,17 @@ def with_error_baseline(
     (service, ewma) to go on from.
     """
     columns = baselined.columns
-    reading = F.col("eligible") & F.col("rate").isNotNull()
-    point = F.struct("bucket", *[c for c in columns if c not in ("bucket", "service", "chunk")])
-    grouped = baselined.groupBy("service", "chunk").agg(
-        F.sort_array(F.collect_list(F.when(reading, point))).alias("points"),
-    )
-    folded = grouped.filter(F.size("points") > 0).withColumn(
-        "map", _affine(F.col("points"), alpha)
+    carried = [c for c in columns if c not in ("bucket", "service", "chunk")]
+    reading = (F.col("eligible") & F.col("rate").isNotNull()).alias("reading")
+    folded = (
+        baselined.groupBy("service", "chunk")
+        .agg(F.sort_array(F.collect_list(F.struct("bucket", reading, *carried))).alias("points"))
+        .withColumn("map", _affine(F.col("points"), alpha))
     )
+    first = F.filter("points", lambda p: p["reading"])
     starts = _incoming(
         folded.select(
-            "service", "chunk", "map.a", "map.b", F.col("points")[0]["rate"].alias("first")
+            "service", "chunk", "map.a", "map.b", F.get(first["rate"], F.lit(0)).alias("first")
         ),
         state,
     )
@@ -110,11 +113,8 @@ def with_error_baseline(
         )
         .select("service", "chunk", "p.*", "ewma")
     )
-    silent = baselined.filter(~reading).withColumn("ewma", F.lit(None).cast("double"))
-    return (
-        judged.select(*columns, "ewma")
-        .unionByName(silent.select(*columns, "ewma"))
-        .withColumn("ewma_z", ewma_z(F.col("rate"), F.col("ewma")))
+    return judged.select(*columns, "ewma").withColumn(
+        "ewma_z", ewma_z(F.col("rate"), F.col("ewma"))
     )
 
 

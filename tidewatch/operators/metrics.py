@@ -22,7 +22,7 @@ QUERY_SECONDS_BOUNDS = [1, 5, 15, 30, 60, 120, 180, 300]
 FLUSH_SECONDS_BOUNDS = [0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1, 2.5, 5, 10]
 
 # Samples of one slot are ordered inside one of this many sub-slots.
-SUBSLOTS = 60
+SUBSLOTS = 1000
 
 
 def histogram(rows: DataFrame, by: list[str], value: str, bounds: list[float]) -> DataFrame:

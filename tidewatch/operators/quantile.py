@@ -57,14 +57,14 @@ def _holding_rank(counts: DataFrame, group: list[str], order: str) -> DataFrame:
 
 def select_quantile(
     rows: DataFrame, keys: list[str], value: str, q: float, out: str,
-    weight: str | None = None,
+    weight: str | None = None, few_groups: bool = False,
 ) -> DataFrame:
     """Exact interpolated ``q``-quantile of ``value`` per ``keys``, any group size.
 
     ``weight`` names a column saying how often a row's value occurs. ``rows`` is
-    scanned once per pass, so it should be a table scan. The number of groups
-    must be small (the caller sends only oversized ones): the rank table has at
-    most two rows per group and is broadcast.
+    scanned once per pass, so it should be a table scan. ``few_groups`` says
+    that the caller has counted the groups and the rank table, which has at most
+    two rows per group, can be broadcast; otherwise the planner decides.
     """
     times = F.lit(1) if weight is None else F.col(weight)
     values = rows.filter(F.col(value).isNotNull()).select(
@@ -81,8 +81,9 @@ def select_quantile(
     state = _holding_rank(ranked, [*keys, "_rank"], "_bin").select(
         *target, "_below", "_low", "_high"
     )
+    small = F.broadcast if few_groups else (lambda table: table)
     for _ in range(LINEAR_PASSES):
-        inside = _inside(values, state, keys)
+        inside = _inside(values, small(state), keys)
         binned = inside.groupBy(
             *target, "_below",
             _linear_bin(F.col("_v"), F.col("_low"), F.col("_high")).alias("_bin"),
@@ -90,7 +91,7 @@ def select_quantile(
         state = _holding_rank(binned, [*keys, "_rank"], "_bin").select(
             *target, "_below", "_low", "_high"
         )
-    remaining = _inside(values, state, keys).groupBy(*target, "_below", "_v").agg(
+    remaining = _inside(values, small(state), keys).groupBy(*target, "_below", "_v").agg(
         F.sum("_w").alias("_n")
     )
     found = _holding_rank(remaining, [*keys, "_rank"], "_v")
@@ -108,6 +109,6 @@ def select_quantile(
 
 def _inside(values: DataFrame, state: DataFrame, keys: list[str]) -> DataFrame:
     """Rows in the value range of their group's target, once per target."""
-    return values.join(F.broadcast(state), keys).filter(
+    return values.join(state, keys).filter(
         F.col("_v").between(F.col("_low"), F.col("_high"))
     )

@@ -12,6 +12,8 @@ from .quantile import select_quantile
 
 DEFAULTS = RollupSettings()
 P95 = 0.95
+# Oversized groups known to the driver by name; a few megabytes at most.
+MAX_LISTED_GROUPS = 50_000
 
 
 def error_count() -> Column:
@@ -45,7 +47,8 @@ def rollup(
 ) -> DataFrame:
     """Counts, errors, mean, exact p95 and maximum per (bucket, service).
 
-    ``hot_rows=None`` is for input whose groups are known to be small.
+    Runs a counting job at once, unless ``hot_rows`` is None, which is for input
+    whose groups are known to be small.
     """
     rows = events.select(
         bucket_start(F.col("ts"), width_s).alias("bucket"), "service", "level", "latency_ms"
@@ -65,31 +68,48 @@ def _by_bucket(
 ) -> DataFrame:
     """Groups above ``hot_rows`` rows get their percentile by selection.
 
-    They are found by a count that combines before the shuffle. There are at
-    most rows / ``hot_rows`` of them, which bounds the broadcast; when there are
-    none, the adaptive planner drops their branch and the exclusion join.
+    One counting job (two columns, combined before the shuffle) looks for such
+    groups. Without any the plan is a plain aggregation.
     """
     names = ROLLUP.fieldNames()
     occurrences = () if weight is None else (F.col(weight),)
     p95 = F.percentile("latency_ms", P95, *occurrences).alias("p95_latency_ms")
-    if hot_rows is None:
+    hot, few = (None, True) if hot_rows is None else _hot_groups(rows, hot_rows)
+    if hot is None:
         return rows.groupBy(*ROLLUP_KEY).agg(*measures, p95).select(*names)
-    hot = (
-        rows.groupBy(*ROLLUP_KEY)
-        .agg(F.count("*").alias("_rows"))
-        .filter(F.col("_rows") > hot_rows)
-        .select(*ROLLUP_KEY)
-    )
-    ordinary = rows.join(F.broadcast(hot), ROLLUP_KEY, "left_anti")
-    oversized = rows.join(F.broadcast(hot), ROLLUP_KEY, "left_semi")
+    numbered = rows.withColumn("_b", F.unix_micros("bucket"))
+    ordinary = numbered.join(hot, ["_b", "service"], "left_anti")
+    oversized = numbered.join(hot, ["_b", "service"], "left_semi")
     small = ordinary.groupBy(*ROLLUP_KEY).agg(*measures, p95)
     selected = select_quantile(
-        oversized, ROLLUP_KEY, "latency_ms", P95, "p95_latency_ms", weight
+        oversized, ROLLUP_KEY, "latency_ms", P95, "p95_latency_ms", weight, few_groups=few
     )
     big = oversized.groupBy(*ROLLUP_KEY).agg(*measures).join(selected, ROLLUP_KEY)
     return small.select(*names).unionByName(big.select(*names))
 
 
+def _hot_groups(rows: DataFrame, hot_rows: int) -> tuple[DataFrame | None, bool]:
+    """Keys (_b, service) of the groups above ``hot_rows`` rows, None if there
+    are none, and whether they are few.
+
+    There are at most rows / ``hot_rows`` of them. Up to the listing limit they
+    are a small local table to broadcast; beyond it they stay a query and are
+    joined by shuffle, where the adaptive planner splits the skewed keys.
+    """
+    hot = (
+        rows.groupBy(F.unix_micros("bucket").alias("_b"), "service")
+        .agg(F.count("*").alias("_rows"))
+        .filter(F.col("_rows") > hot_rows)
+        .select("_b", "service")
+    )
+    listed = hot.limit(MAX_LISTED_GROUPS + 1).collect()
+    if not listed:
+        return None, True
+    if len(listed) > MAX_LISTED_GROUPS:
+        return hot, False
+    return F.broadcast(rows.sparkSession.createDataFrame(listed, hot.schema)), True
+
+
 def rollup_approx(
     events: DataFrame, width_s: int = DEFAULTS.width_s, accuracy: int = 10_000
 ) -> DataFrame:

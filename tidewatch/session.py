@@ -18,6 +18,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.streaming.stateStore.providerClass": ROCKSDB_PROVIDER,
     "spark.ui.enabled": "false",
+    # Recording the call site of every column makes building plans slow.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
