@@ -67,7 +67,7 @@ def fixed_point(value: Column, digits: int, ties: str = "even") -> Column:
     Java's own formatter rounds the shortest decimal text instead, which turns
     1.005 (stored slightly below) into 1.01. Here a scaled value that lands on
     a half is decided by the rounding error of the scaling, and only a true
-    tie falls to ``ties``: ``even`` or ``up`` (away from zero).
+    tie falls to ``ties``: ``even`` or ``up`` (away from zero). NULL stays NULL.
     """
     scale = float(10**digits)
     size = F.abs(value)
@@ -81,7 +81,7 @@ def fixed_point(value: Column, digits: int, ties: str = "even") -> Column:
     rounded = (below + up.cast("int")) / scale
     pattern = f"%.{digits}f"
     text = F.format_string(pattern, F.when(size < FORMAT_LIMIT, rounded).otherwise(size))
-    return F.when(value < 0, F.concat(F.lit("-"), text)).otherwise(text)
+    return F.when(value < 0, F.concat(F.lit("-"), text)).when(value.isNotNull(), text)
 
 
 def grouped_integer(value: Column) -> Column:

@@ -84,7 +84,7 @@ def histogram_quantile(
         )
     )
     low = F.coalesce(F.col("_pl"), F.lit(0.0))
-    rank = F.lit(float(phi)) * F.col("_total")
+    rank = F.lit(min(max(float(phi), 0.0), 1.0)) * F.col("_total")
     inside = low + (F.col("_le") - low) * (rank - F.col("_pc")) / (F.col("_c") - F.col("_pc"))
     at = (
         F.when(F.col("_le") == inf, F.col("_pl"))
