@@ -95,6 +95,21 @@ def test_level_rule(spark):
 
 
 def test_text_is_parsed_once(spark):
-    """The parsed object must not be copied into every field's expression."""
+    """The parsed message must not be copied into every field's expression."""
     plan = decode.decode(messages(spark, "{}"))._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.count("parseJson") <= 4
+    assert plan.count("from_json") == 1
+
+
+def test_last_of_repeated_keys_counts(spark):
+    row = decode.decode(messages(spark, '{"level":"a","level":"b"}')).first()
+    assert (row.decode_error, row.level) == (None, "b")
+
+
+def test_suspicious_text_that_is_fine(spark):
+    for text in ('{"message":"\\"level\\": 5","extra":{"level":5}}', '{"message":"\\u0041"}'):
+        assert decode.decode(messages(spark, text)).first().decode_error is None
+    assert decode.decode(messages(spark, '{"\\u006cevel":5}')).first().decode_error == decode.BAD_JSON
+
+
+def test_too_large_number(spark):
+    assert decode.decode(messages(spark, '{"latency_ms":1e400}')).first().decode_error == decode.BAD_JSON

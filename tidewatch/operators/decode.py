@@ -4,69 +4,87 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType, DoubleType, IntegerType, StringType
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from ..functions.text import canonical_uuid
 from ..functions.times import parse_rfc3339
 from ..schemas import LOG_EVENT_JSON, LOG_EVENTS
 
-# JSON types accepted per column type. A JSON null or a missing key is the
-# column's zero value instead.
-JSON_TYPES = {"string": "^STRING$", "int": "^BIGINT$", "boolean": "^BOOLEAN$",
-              "double": "^(BIGINT|DOUBLE|DECIMAL.*)$"}
 ZERO = {"string": "", "int": 0, "double": 0.0, "boolean": False}
 
 BAD_JSON = "malformed json"
 BAD_TIMESTAMP = "bad timestamp"
 
-
-def _variant(message: Column) -> Column:
-    """The single JSON object in ``message`` as a variant.
-
-    The parser stops after the first value, so the text is placed in front of
-    an end marker inside an array: trailing text and second values move or
-    hide the marker and give NULL.
-    """
-    framed = F.try_parse_json(F.concat(F.lit("["), message, F.lit(",0]")))
-    end_in_place = F.try_variant_get(framed, "$[1]", "int") == 0
-    nothing_after = F.try_variant_get(framed, "$[2]", "variant").isNull()
-    value = F.try_variant_get(framed, "$[0]", "variant")
-    is_object = F.schema_of_variant(value).startswith("OBJECT")
-    return F.when(end_in_place & nothing_after & is_object, value)
-
-
-def _field(name: str, kind: DataType) -> tuple[Column, Column]:
-    """(typed value, whether the JSON value has an accepted type)."""
-    type_name = kind.simpleString()
-    path = f"$.{name}"
-    json_type = F.schema_of_variant(F.try_variant_get(F.col("_object"), path, "variant"))
-    absent = json_type.isNull() | (json_type == "VOID")
-    value = F.try_variant_get(F.col("_object"), path, type_name)
-    fits = absent | (json_type.rlike(JSON_TYPES[type_name]) & value.isNotNull())
-    return F.coalesce(value, F.lit(ZERO[type_name])), fits
+TEXT_FIELDS = [f.name for f in LOG_EVENT_JSON.fields if isinstance(f.dataType, StringType)]
+STRICT = {
+    "mode": "PERMISSIVE",
+    "columnNameOfCorruptRecord": "_corrupt",
+    "allowSingleQuotes": "false",
+    "allowNonNumericNumbers": "false",
+}
+# The message as a member, followed by an end marker: text after the message is
+# then a syntax error or leaves the marker out.
+FRAME = StructType(
+    [
+        StructField("message", LOG_EVENT_JSON),
+        StructField("end", IntegerType()),
+        StructField("_corrupt", StringType()),
+    ]
+)
+# What a text field reads as when its JSON value is a number, a boolean, an
+# object or an array.
+NOT_TEXT = r"^(-?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?$|true$|false$|[{\[])"
+
+
+def _text_fields_hold_text(message: Column) -> Column:
+    """Whether the JSON values of all text fields are texts, absent or null."""
+
+    def check(parsed: Column) -> Column:
+        kinds = [
+            F.schema_of_variant(F.try_variant_get(parsed, f"$.{name}", "variant"))
+            for name in TEXT_FIELDS
+        ]
+        good = F.lit(True)
+        for kind in kinds:
+            good = good & F.coalesce(kind.isin("STRING", "VOID"), F.lit(True))
+        return parsed.isNotNull() & good
+
+    return F.get(F.transform(F.array(F.try_parse_json(message)), check), F.lit(0))
 
 
 def decode(messages: DataFrame, value: str = "value", keep: tuple[str, ...] = ()) -> DataFrame:
     """Typed fields of every message plus ``decode_error`` (NULL when it decoded).
 
     Unknown keys are ignored, missing ones become zero values, a wrongly typed
-    value turns the whole message away. ``keep`` names columns to carry along.
+    value turns the whole message away. Spark's reader is strict about all types
+    but text, where it also takes numbers and objects; messages whose texts look
+    like those are parsed again with types. ``keep`` names columns to carry along.
     """
-    fields = {f.name: _field(f.name, f.dataType) for f in LOG_EVENT_JSON.fields}
-    text = F.col(value).cast("string")
-    # One-element arrays are unnested so that the optimizer cannot merge the
+    raw = F.col("raw")
+    framed = F.concat(F.lit('{"message":'), raw, F.lit(',"end":0}'))
+    texts = messages.select(*keep, F.col(value).cast("string").alias("raw"))
+    # The one-element array is unnested so that the optimizer cannot merge the
     # steps and parse the text once per field.
-    parsed = messages.select(*keep, text.alias("raw")).select(
-        *keep, "raw", F.explode(F.array(_variant(F.col("raw")))).alias("_object")
+    parsed = texts.select(
+        *keep, "raw", F.explode(F.array(F.from_json(framed, FRAME, STRICT))).alias("f")
     )
-    good = F.col("_object").isNotNull()
-    for _, fits in fields.values():
-        good = good & fits
-    typed = F.struct(
-        *[column.alias(name) for name, (column, _) in fields.items()],
-        F.when(~F.coalesce(good, F.lit(False)), BAD_JSON).alias("decode_error"),
+    message = F.col("f.message")
+    good = (
+        F.col("f._corrupt").isNull()
+        & (F.col("f.end") == 0)
+        & message.isNotNull()
+        & (F.coalesce(F.abs(message["latency_ms"]), F.lit(0.0)) < F.lit(float("inf")))
     )
-    return parsed.select(*keep, "raw", F.inline(F.array(typed)))
+    doubtful = F.lit(False)
+    for name in TEXT_FIELDS:
+        doubtful = doubtful | F.coalesce(message[name].rlike(NOT_TEXT), F.lit(False))
+    strict = F.when(doubtful, _text_fields_hold_text(raw)).otherwise(F.lit(True))
+    fields = [
+        F.coalesce(message[f.name], F.lit(ZERO[f.dataType.simpleString()])).alias(f.name)
+        for f in LOG_EVENT_JSON.fields
+    ]
+    error = F.when(~F.coalesce(good & strict, F.lit(False)), BAD_JSON).alias("decode_error")
+    return parsed.select(*keep, "raw", *fields, error)
 
 
 def parse_timestamps(decoded: DataFrame) -> DataFrame:
