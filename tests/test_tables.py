@@ -36,7 +36,8 @@ def test_only_touched_dates_are_read(spark, tmp_path):
     touched = tables.EVENTS_TABLE.touched(stored, events(spark, rows[1:2]))
     assert touched.count() == 1
     plan = touched._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [event_date" in plan or "PartitionFilters: [isnotnull(event_date" in plan
+    assert "event_date" in plan.split("PartitionFilters: ")[1].split("]")[0]
+    assert "GreaterThanOrEqual(ts" in plan.split("PushedFilters: ")[1].split("]")[0]
 
 
 def test_many_dates_become_a_range(spark, tmp_path, monkeypatch):

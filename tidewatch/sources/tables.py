@@ -10,9 +10,9 @@ from pyspark.sql.types import StructType
 from ..operators.keys import first_arrivals, without_known_keys
 from ..schemas import ANOMALIES, LOG_EVENT_KEY, LOG_EVENTS, ROLLUP, ROLLUP_KEY, with_partition
 
-# Partition dates listed one by one in a filter; more than this and the filter
-# is the range from the first to the last.
-MAX_LISTED_DATES = 1000
+# Partition dates listed one by one in a filter, each with its span of times;
+# with more of them the filter is the range from the first date to the last.
+MAX_LISTED_DATES = 100
 
 
 class Table:
@@ -60,33 +60,54 @@ class Table:
         )
 
     def touched(self, stored: DataFrame, rows: DataFrame) -> DataFrame:
-        """The partitions of ``stored`` that can hold keys of ``rows``.
+        """The part of ``stored`` that can hold keys of ``rows``.
 
-        Only dates reach the driver, and no more than the listing limit.
+        When the key contains the time, that is the span of times that ``rows``
+        has in each date: partitions are pruned by date and row groups by time,
+        so a small batch does not read the whole day again. Only dates and spans
+        reach the driver, no more than the listing limit.
         """
+        partition, time = F.col(self.partition), F.col(self.time_column)
         if self.not_before:
             oldest = rows.agg(F.min(F.to_date(self.not_before))).first()[0]
-            return stored.filter(F.col(self.partition) >= F.lit(oldest))
-        days = rows.select(self.day().alias("d"))
-        listed = [r.d for r in days.distinct().limit(MAX_LISTED_DATES + 1).collect()]
-        column = F.col(self.partition)
-        if len(listed) <= MAX_LISTED_DATES:
-            return stored.filter(column.isin(listed) if listed else F.lit(False))
-        span = days.agg(F.min("d").alias("a"), F.max("d").alias("b")).first()
-        return stored.filter(column.between(span.a, span.b))
+            return stored.filter(partition >= F.lit(oldest))
+        micros = F.unix_micros(time)
+        spans = rows.groupBy(self.day().alias("day")).agg(
+            F.min(micros).alias("a"), F.max(micros).alias("b")
+        )
+        listed = spans.limit(MAX_LISTED_DATES + 1).collect()
+        if not listed:
+            return stored.filter(F.lit(False))
+        if len(listed) > MAX_LISTED_DATES:
+            ends = spans.agg(F.min("day").alias("a"), F.max("day").alias("b")).first()
+            return stored.filter(partition.between(ends.a, ends.b))
+        inside = F.lit(False)
+        for span in listed:
+            first, last = (F.timestamp_micros(F.lit(us)) for us in (span.a, span.b))
+            inside = inside | ((partition == span.day) & time.between(first, last))
+        return stored.filter(inside)
 
     def insert_new(self, rows: DataFrame, path: str, arrival: list[str]) -> None:
         """Keyed insert: the first arrival of an unknown key is written, the rest
         ignored. Running it again with the same rows changes nothing.
         """
-        spark = rows.sparkSession
-        stored = self.touched(self.read(spark, path), rows)
-        fresh = without_known_keys(first_arrivals(rows, arrival, self.keys), stored, self.keys)
-        self.write(fresh, path)
+        names = self.schema.fieldNames()
+        # Other columns break ties, so that a recomputed task picks the same copy.
+        rest = [n for n in names if n not in (*self.keys, *arrival)]
+        stored = self.touched(self.read(rows.sparkSession, path), rows)
+        unique = first_arrivals(rows, [*arrival, *rest], self.keys)
+        self.write(without_known_keys(unique, stored, self.keys), path)
 
     def replace(self, rows: DataFrame, path: str) -> None:
-        """Replaces the rows with the same keys, rewriting the touched dates."""
-        stored = self.touched(self.read(rows.sparkSession, path), rows)
+        """Replaces the rows with the same keys, rewriting the touched dates.
+
+        Every touched date is rewritten whole, so the list of dates is no longer
+        than the work itself.
+        """
+        days = [r.d for r in rows.select(self.day().alias("d")).distinct().collect()]
+        if not days:
+            return
+        stored = self.read(rows.sparkSession, path).filter(F.col(self.partition).isin(days))
         names = self.schema.fieldNames()
         kept = without_known_keys(stored, rows, self.keys).select(*names)
         merged = kept.unionByName(rows.select(*names))

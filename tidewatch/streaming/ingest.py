@@ -47,14 +47,16 @@ def ingest_batch(
     order = [f"_{n}" for n in names]
     named = messages.withColumnsRenamed(dict(zip(names, order)))
     classified, watch = observed(classify(named, F.current_timestamp(), keep=tuple(order)))
-    # Read three times below (dates, insert, quarantine), decoded once.
+    # Read three times below (time spans, insert, quarantine), decoded once.
     classified = classified.persist()
     try:
         events = accepted(classified, keep=tuple(order))
-        insert_events(events, events_path, order or ["latency_ms", "message"])
-        place = f"{quarantine_path}/stream={_stream_id(spark)}/batch={batch_id}"
-        quarantined(classified).write.mode("overwrite").parquet(place)
-        return watch.get
+        insert_events(events, events_path, order or ["ingested_at"])
+        counts = watch.get
+        if counts["rejected"]:
+            place = f"{quarantine_path}/stream={_stream_id(spark)}/batch={batch_id}"
+            quarantined(classified).write.mode("overwrite").parquet(place)
+        return counts
     finally:
         classified.unpersist()
 
