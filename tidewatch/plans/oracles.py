@@ -296,6 +296,12 @@ ORACLES: dict[str, str] = {
     "sink_time_partitioned": f"""WITH {LOGS} SELECT event_id, ts, service, CAST(ts AS DATE) AS event_date
         FROM log_events WHERE ts >= {AS_OF} - INTERVAL 7 DAYS""",
     "sink_kafka_records": f"WITH {MESSAGES} SELECT service AS key, body AS value FROM messages",
+    "src_kafka_logs": f"""WITH {LOGS} SELECT event_id, ts, service, endpoint, level, status_code, latency_ms,
+        message, trace_id, anomaly_injected FROM log_events""",
+    "st_delivery": f"""WITH {MESSAGES}, n AS (SELECT count(*) AS consumed,
+          count(*) FILTER (WHERE form IN (1, 2, 5, 6)) AS rejected FROM messages)
+        SELECT consumed, consumed - rejected AS accepted, rejected, consumed - rejected AS stored,
+        rejected AS set_aside FROM n""",
     "obs_ingest_counts": f"""WITH {MESSAGES} SELECT coalesce({OUTCOME}, 'accepted') AS outcome,
         count(*) AS messages FROM messages GROUP BY 1""",
     "proj_decode_json": f"""WITH {MESSAGES} SELECT number, event_id,

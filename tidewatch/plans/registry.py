@@ -109,11 +109,7 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     different form, some of them faulty."""
     events = logs(spark, sf_dir)
     number = F.substring("event_id", 25, 12).cast("long")
-    good = kafka.records(events).select(F.col("value").cast("string").alias("value"))
-    body = F.to_json(F.struct(*[
-        times.iso_format(F.col("ts")).alias("timestamp") if n == "timestamp" else F.col(n)
-        for n in good_fields()
-    ]))
+    body = kafka.as_json()
     form = F.pmod(number, F.lit(8))
     value = (
         F.when(form == 1, F.concat(body, F.lit(" tail")))
@@ -127,10 +123,6 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.select(number.alias("number"), "service", value.alias("value"))
 
 
-def good_fields() -> list[str]:
-    return decode.LOG_EVENT_JSON.fieldNames()
-
-
 def counter(events: DataFrame) -> DataFrame:
     """Scraped counter of events per service that restarts at midnight."""
     slot = times.bucket_start(F.col("ts"), SCRAPE_S)
@@ -231,6 +223,28 @@ def sink_kafka_records(spark, sf_dir):
     return rows.select(*[F.col(c).cast("string").alias(c) for c in ("key", "value")])
 
 
+@query
+def src_kafka_logs(spark, sf_dir):
+    """The ingest stream over rows in the shape a topic reader gives: every
+    message is delivered twice, the higher offset with another text."""
+    path = shared_dir(spark, "topic")
+    events = logs(spark, sf_dir).withColumn("number", F.substring("event_id", 25, 12).cast("long"))
+    again = events.withColumns(
+        {"message": F.concat("message", F.lit(" (again)")), "number": F.col("number") + 10**12}
+    )
+    both = events.unionByName(again)
+    kafka.records(both, keep=("ts", "number")).select(
+        "key", "value", F.lit("service-logs").alias("topic"), F.lit(0).alias("partition"),
+        F.col("number").alias("offset"), F.col("ts").alias("timestamp"),
+        F.lit(0).alias("timestampType"),
+    ).write.parquet(f"{path}/topic")
+    source = spark.readStream.schema(kafka.MESSAGE).parquet(f"{path}/topic")
+    stream_ingest.start_ingest(
+        source, f"{path}/events", f"{path}/quarantine", f"{path}/checkpoint", available_now=True
+    ).awaitTermination()
+    return tables.EVENTS_TABLE.read(spark, f"{path}/events").drop("ingested_at", "event_date")
+
+
 @query
 def obs_ingest_counts(spark, sf_dir):
     """Messages read, accepted and turned away, by reason."""
@@ -842,6 +856,24 @@ def _event_stream(spark, sf_dir) -> DataFrame:
     return samples.events_as_logs(stream)
 
 
+@query
+def st_delivery(spark, sf_dir):
+    """A batch that is delivered again after it was written: counts, and rows
+    stored and set aside afterwards."""
+    place = shared_dir(spark, "delivery")
+    batch = messages(spark, sf_dir).select("value")
+    for _ in range(2):
+        counts = stream_ingest.ingest_batch(batch, 0, f"{place}/events", f"{place}/quarantine")
+    stored = tables.EVENTS_TABLE.read(spark, f"{place}/events")
+    rejected = spark.read.schema("raw string, reject_reason string").parquet(
+        f"{place}/quarantine/*/*"
+    )
+    seen = [F.lit(counts[n]).cast("long").alias(n) for n in ("consumed", "accepted", "rejected")]
+    return stored.agg(*seen, F.count("*").alias("stored")).withColumn(
+        "set_aside", rejected.agg(F.count("*")).scalar()
+    )
+
+
 @query
 def st_dedupe(spark, sf_dir):
     """All events through a stream of keyed inserts, started twice over."""

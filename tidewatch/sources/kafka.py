@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
@@ -12,6 +12,12 @@ from ..schemas import LOG_EVENT_JSON
 
 DEFAULTS = IngestSettings()
 
+# What the topic reader gives.
+MESSAGE = (
+    "key binary, value binary, topic string, partition int, offset long,"
+    " timestamp timestamp, timestampType int"
+)
+
 
 def reader_options(
     brokers: str, topic: str = DEFAULTS.topic, starting: str = "latest",
@@ -45,16 +51,21 @@ def log_messages(spark: SparkSession, brokers: str, **kwargs) -> DataFrame:
     return spark.readStream.format("kafka").options(**reader_options(brokers, **kwargs)).load()
 
 
-def records(events: DataFrame) -> DataFrame:
-    """Events as (key, value) bytes: the service, and the event as JSON."""
-    as_text = {"timestamp": iso_format(F.col("ts"))}
+def as_json() -> Column:
+    """An event row as the JSON text of its message."""
     fields = [
-        as_text.get(name, F.col(name)).alias(name) if name in as_text else F.col(name)
+        iso_format(F.col("ts")).alias(name) if name == "timestamp" else F.col(name)
         for name in LOG_EVENT_JSON.fieldNames()
     ]
+    return F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
+
+
+def records(events: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Events as (key, value) bytes: the service, and the event as JSON."""
     return events.select(
+        *keep,
         F.col("service").cast("binary").alias("key"),
-        F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).cast("binary").alias("value"),
+        as_json().cast("binary").alias("value"),
     )
 
 
