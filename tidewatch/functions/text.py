@@ -12,6 +12,7 @@ BLANKS = (
     "\u2028\u2029\u202f\u205f\u3000\ufeff"
 )
 
+CANONICAL_UUID = "^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
 UUID_PATTERN = (
     "^([0-9a-fA-F]{32}"
     "|[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12})$"
@@ -54,11 +55,16 @@ def positive_or(text: Column, fallback: float) -> Column:
 
 
 def canonical_uuid(text: Column) -> Column:
-    """Lower-case hyphenated form, NULL when the text is not a UUID."""
+    """Lower-case hyphenated form, NULL when the text is not a UUID.
+
+    Texts that have that form already, the usual case, are passed on as they are.
+    """
     digits = F.lower(F.replace(text, F.lit("-"), F.lit("")))
     parts = [F.substring(digits, start, size) for start, size in
              ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
-    return F.when(text.rlike(UUID_PATTERN), F.concat_ws("-", *parts))
+    return F.when(text.rlike(CANONICAL_UUID), text).when(
+        text.rlike(UUID_PATTERN), F.concat_ws("-", *parts)
+    )
 
 
 def fixed_point(value: Column, digits: int, ties: str = "even") -> Column:

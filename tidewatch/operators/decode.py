@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
-from ..functions.text import canonical_uuid
+from ..functions.text import UUID_PATTERN, canonical_uuid
 from ..functions.times import parse_rfc3339
 from ..schemas import LOG_EVENT_JSON, LOG_EVENTS
 
@@ -104,7 +104,7 @@ def constraint_violation(columns: list[str]) -> Column:
     """First broken table constraint of a row as text, NULL for a good row."""
     checks = [F.when(_is_null(name), F.lit(f"{name} is null"))
               for name in LOG_EVENTS.fieldNames() if name in columns]
-    checks += [F.when(canonical_uuid(F.col(name)).isNull(), F.lit(f"{name} is not a uuid"))
+    checks += [F.when(~F.col(name).rlike(UUID_PATTERN), F.lit(f"{name} is not a uuid"))
                for name in ("event_id", "trace_id") if name in columns]
     return F.coalesce(*checks)
 
@@ -132,9 +132,10 @@ def classify(messages: DataFrame, as_of, value: str = "value",
         F.when(_is_null("ts"), F.lit(BAD_TIMESTAMP)),
         constraint_violation(rows.columns),
     )
-    return rows.select(
-        *keep, "raw", *[F.col(n) for n in LOG_EVENTS.fieldNames()],
-        reason.alias("reject_reason"),
+    # The text is kept for rejected messages only, which keeps batches small.
+    return rows.withColumn("reject_reason", reason).select(
+        *keep, F.when(F.col("reject_reason").isNotNull(), F.col("raw")).alias("raw"),
+        *LOG_EVENTS.fieldNames(), "reject_reason",
     )
 
 

@@ -436,7 +436,7 @@ ORACLES: dict[str, str] = {
     "fn_window_bounds": f"WITH {QUESTIONS} SELECT question_id, window_start, window_end FROM asked",
     "fn_fixed_format": f"""WITH {LOGS}, e AS (SELECT *, floor(latency_ms * 8) / 8 AS eighth FROM log_events)
         SELECT event_id, printf('%.2f', latency_ms / 3) AS two, printf('%.1f', latency_ms) AS one,
-        printf('%.0f', -latency_ms) AS none, printf('%.2f', eighth) AS tie_even,
+        printf('%.0f', 1 - latency_ms) AS none, printf('%.2f', eighth) AS tie_even,
         {half_up('eighth', 2)} AS tie_up, {half_up('eighth', 0)} AS tie_whole FROM e""",
     "fn_iso_ts": f"""WITH {LOGS} SELECT event_id, {iso('ts')} AS exact,
         {iso("date_trunc('second', ts)")} AS whole FROM log_events""",

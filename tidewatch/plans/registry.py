@@ -771,7 +771,7 @@ def fn_fixed_format(spark, sf_dir):
     shown = {
         "two": text.fixed_point(F.col("latency_ms") / 3, 2),
         "one": text.fixed_point(F.col("latency_ms"), 1),
-        "none": text.fixed_point(-F.col("latency_ms"), 0),
+        "none": text.fixed_point(1 - F.col("latency_ms"), 0),
         "tie_even": text.fixed_point(eighth, 2),
         "tie_up": text.fixed_point(eighth, 2, ties="up"),
         "tie_whole": text.fixed_point(eighth, 0, ties="up"),
