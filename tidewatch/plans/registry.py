@@ -15,7 +15,7 @@ from ..operators import (
     baseline, context, decode, detect, filters, keys, metrics, questions, reads, rollup,
 )
 from ..schemas import LOG_EVENTS
-from ..session import shared_dir
+from ..session import ROCKSDB_PROVIDER, STATE_PROVIDER, setting, shared_dir
 from ..sources import kafka, samples, tables
 from ..sources.samples import AS_OF, SETTINGS, WIDTH_S
 from ..streaming import detect as stream_detect
@@ -928,23 +928,20 @@ def st_detect(spark, sf_dir):
 @query
 def st_ewma_state(spark, sf_dir):
     """Baselines from keyed stream state over every reading."""
-    spark.conf.set(
-        "spark.sql.streaming.stateStore.providerClass",
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    )
     path = shared_dir(spark, "baselines")
     readings = baseline.trailing_baseline(buckets(spark, sf_dir), SETTINGS)
-    readings.filter("eligible and rate is not null").select("service", "bucket", "rate").write.parquet(
-        f"{path}/readings"
-    )
+    readings.filter("eligible and rate is not null").select(
+        "service", "bucket", "rate"
+    ).write.parquet(f"{path}/readings")
     stream = spark.readStream.schema("service string, bucket timestamp, rate double").parquet(
         f"{path}/readings"
     )
-    stream_ewma.error_baselines(stream, SETTINGS.ewma_alpha).writeStream.format("parquet").option(
-        "path", f"{path}/out"
-    ).option("checkpointLocation", f"{path}/checkpoint").outputMode("append").trigger(
-        availableNow=True
-    ).start().awaitTermination()
+    baselines = stream_ewma.error_baselines(stream, SETTINGS.ewma_alpha)
+    writer = baselines.writeStream.format("parquet").option("path", f"{path}/out").option(
+        "checkpointLocation", f"{path}/checkpoint"
+    )
+    with setting(spark, STATE_PROVIDER, ROCKSDB_PROVIDER):
+        writer.outputMode("append").trigger(availableNow=True).start().awaitTermination()
     rows = spark.read.schema(stream_ewma.OUTPUT).parquet(f"{path}/out")
     return rounded(rows, "rate", "ewma")
 

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
+STATE_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB_PROVIDER = (
     "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 )
@@ -16,7 +19,7 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
-    "spark.sql.streaming.stateStore.providerClass": ROCKSDB_PROVIDER,
+    STATE_PROVIDER: ROCKSDB_PROVIDER,
     "spark.ui.enabled": "false",
     # Recording the call site of every column makes building plans slow.
     "spark.python.sql.dataFrameDebugging.enabled": "false",
@@ -35,6 +38,20 @@ def build_session(app: str = "tidewatch", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A session setting for the length of a block."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder under the session's ``spark.checkpoint.dir``.
 

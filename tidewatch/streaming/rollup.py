@@ -38,11 +38,14 @@ def start_rollup(
     """Adds every closed bucket to the rollup table, once."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        # Evaluated once: running the batch again would update the state again.
         counts = batch.persist()
         try:
-            buckets = rollup_counts(counts, settings.hot_rows).persist()
-            ROLLUP_TABLE.insert_new(buckets, rollup_path, ["event_count"])
-            buckets.unpersist()
+            # Most batches close no bucket.
+            if counts.count():
+                buckets = rollup_counts(counts, settings.hot_rows).persist()
+                ROLLUP_TABLE.insert_new(buckets, rollup_path, ["event_count"])
+                buckets.unpersist()
         finally:
             counts.unpersist()
 
