@@ -4,7 +4,7 @@ import json
 from datetime import timedelta
 
 import pytest
-from helpers import START, as_set, bucket_row, buckets, event, events, uuid
+from helpers import START, as_set, buckets, event, events, uuid
 from pyspark.sql import functions as F
 from test_detect import noisy
 
