@@ -25,7 +25,7 @@ def new_file(folder: str, stem: str) -> str:
 def create(uri: str):
     fs, path = locate(uri)
     fs.create_dir(os.path.dirname(path), recursive=True)
-    return fs.open_output_stream(path)
+    return fs.open_output_stream(path, compression=None)
 
 
 def open_random(uri: str):
