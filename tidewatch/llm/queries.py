@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, html, packing, quality, simhash, token_files, tokens, toxicity, warc
+from . import decontaminate, embeddings, html, line_dedup, packing, quality, simhash, token_files, tokens, toxicity, warc
 from .common import stored, table
 
 END_OF_PACKED, END_OF_ENCODED = 1, 2
@@ -35,6 +35,18 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of every line of all documents."""
+    found = line_dedup.classes(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "line_no", "class_doc_id", "class_line_no", "kept")
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with a copy of a benchmark item, and where it stands."""
+    found = decontaminate.copies(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "score", "start", "end")
+
+
 def op6_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of all pages."""
     return html.extract(table(spark, sf_dir, "pages"))
@@ -65,7 +77,8 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_simhash, op2_warc, op3_packing, op6_html, op7_embeddings, op8_token_files, op9_toxicity, op10_quality,
+        op1_simhash, op2_warc, op3_packing, op4_lines, op5_decontamination, op6_html, op7_embeddings,
+        op8_token_files, op9_toxicity, op10_quality,
     )
 }
 ORACLES: dict[str, str] = {
