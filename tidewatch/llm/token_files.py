@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from ..session import shared_dir
 from .common import batch, map_texts, stored
 from .storage import create, new_file, open_random
-from .tokens import ChunkEncoder, encode_in_slices
+from .tokens import encode_in_slices, worker_encoder
 
 MAGIC = b"TWPFOR01"
 HEADER = "<IIBI"  # ids, minimum, width, exceptions
@@ -185,7 +185,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
     ])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = ChunkEncoder(tokenizer_path), np.array([end_id], "<u4").tobytes()
+        encoder, end = worker_encoder(tokenizer_path), np.array([end_id], "<u4").tobytes()
         writer, name, current = None, "", None
         for b in batches:
             out = []

@@ -18,7 +18,7 @@ BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
 #: Distinct chunks kept per worker. Once full the cache stays as it is: frequent chunks
 #: come early, and others are then encoded again in each batch.
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 600_000
 #: Longer chunks are not kept.
 LONG_CHUNK = 64
 
@@ -104,6 +104,16 @@ class ChunkEncoder:
         return [c for i, c in enumerate(added) if i >= room or len(c) > LONG_CHUNK]
 
 
+def worker_encoder(path: str) -> ChunkEncoder:
+    """The encoder of this worker process. Its cache serves all tasks that the process runs."""
+    import tokenizers
+
+    kept = vars(tokenizers).setdefault("_chunk_encoders", {})
+    if path not in kept:
+        kept[path] = ChunkEncoder(path)
+    return kept[path]
+
+
 def encode_in_slices(encoder: ChunkEncoder, texts: list[str], chars: int = 1 << 20):
     """Ids of texts one by one, a bounded number of characters at a time."""
     begin = size = 0
