@@ -148,6 +148,31 @@ def test_refresh_table_and_backfill(spark, tmp_path):
     assert tables.ROLLUP_TABLE.read(spark, rp).count() == 28
 
 
+def test_backfill_between_edges_equals_rollup(spark, tmp_path):
+    ep, rp = f"{tmp_path}/events", f"{tmp_path}/rollup"
+    rows = [event(i, START + timedelta(seconds=10 * i)) for i in range(18)]
+    tables.insert_events(events(spark, rows), ep)
+    stream_rollup.backfill(spark, ep, rp, START, START + timedelta(minutes=3))
+    stream_rollup.backfill(spark, ep, rp, START + timedelta(seconds=30), START + timedelta(seconds=90))
+    stored = tables.ROLLUP_TABLE.read(spark, rp)
+    assert as_set(stored, "bucket", "event_count") == as_set(rollup.rollup(events(spark, rows)), "bucket", "event_count")
+    assert {r.event_count for r in stored.collect()} == {6}
+
+
+def test_shared_folder_needs_a_setting_on_a_cluster():
+    from types import SimpleNamespace
+
+    from tidewatch.session import shared_dir
+
+    def fake(master):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master=master))
+
+    for master in ("yarn", "local-cluster[2,1,1024]", "spark://host:7077"):
+        with pytest.raises(ValueError):
+            shared_dir(fake(master), "x")
+    assert shared_dir(fake("local[2]"), "x")
+
+
 def bucket_files(spark, path, rows, cuts):
     edges = [START + timedelta(minutes=m) for m in (-1, *cuts, 10**4)]
     for a, b in zip(edges, edges[1:]):

@@ -55,10 +55,13 @@ def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder under the session's ``spark.checkpoint.dir``.
 
-    Only a session without that setting (local tests) falls back to a
-    temporary folder; a cluster names one that every executor can reach.
+    Only a local session without that setting (tests) falls back to a
+    temporary folder; a cluster must name one that every executor can reach.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="tidewatch-")
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..config import RollupSettings
-from ..functions.times import ORIGIN_S
+from ..functions.times import ORIGIN_S, bucket_start
 from ..operators.rollup import error_count, refresh_bounds, rollup, rollup_counts
 from ..schemas import ROLLUP
 from ..sources.tables import EVENTS_TABLE, ROLLUP_TABLE
@@ -77,8 +77,14 @@ def backfill(
     spark: SparkSession, events_path: str, rollup_path: str, start, end,
     settings: RollupSettings = DEFAULTS,
 ) -> None:
-    """Recomputes the buckets in [start, end), for example to take in late rows."""
+    """Recomputes all buckets that [start, end) touches, for example to take in late rows.
+
+    Bounds inside a bucket are widened to its edges, as a bucket is replaced as a whole.
+    """
     begin, until = F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp")
+    begin, last = bucket_start(begin, settings.width_s), bucket_start(until, settings.width_s)
+    after = F.timestamp_seconds(F.unix_seconds(last) + settings.width_s)
+    until = F.when(last == until, until).otherwise(after)
     ts, day = F.col("ts"), F.col(EVENTS_TABLE.partition)
     events = EVENTS_TABLE.read(spark, events_path).filter(
         (ts >= begin) & (ts < until) & (day >= F.to_date(begin)) & (day <= F.to_date(until))
