@@ -22,10 +22,16 @@ CACHE_CHUNKS = 600_000
 #: Longer chunks are not kept.
 LONG_CHUNK = 64
 
-UNSAFE = re.compile(r"[^\S \n]|\s[ \n]|^[ \n]|[ \n]$|\x01")
+#: White space other than single spaces and line breaks, and the mark that cuts are made with.
+ODD_SPACE = re.compile("[\x01\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+NEIGHBOURS = ("  ", " \n", "\n ", "\n\n")
 SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Behind a letter these start a pre-token of their own; an apostrophe may not.
 MARKS = ".,;:!?#$%&*|()\"-"
+#: One word of letters that no normalization joins or divides.
+WORD = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")
+#: Words that are encoded as one text and told apart by their first or last tokens.
+WORDS_AT_ONCE = 2_000
 
 
 def tokenizer_path(name: str) -> str:
@@ -55,7 +61,7 @@ def spaced_chunks(text: str) -> list[str]:
     A single space or line break between two other characters is always a boundary.
     Where white space meets white space, only plain single spaces are cut.
     """
-    if UNSAFE.search(text):
+    if text[:1].isspace() or text[-1:].isspace() or any(n in text for n in NEIGHBOURS) or ODD_SPACE.search(text):
         head, *rest = SAFE_CUT.split(text)
         return [head, *(" " + x for x in rest)]
     return text.replace(" ", "\x01 ").replace("\n", "\x01\n\x01").split("\x01")
@@ -77,8 +83,13 @@ class ChunkEncoder:
     def __init__(self, path: str):
         self.tokenizer = load(path)
         with open(path, encoding="utf-8") as f:
-            keeps_space = json.load(f)["pre_tokenizer"]["type"] == "ByteLevel"
-        self.chunks: Callable[[str], list[str]] = spaced_chunks if keeps_space else bare_chunks
+            self.keeps_space = json.load(f)["pre_tokenizer"]["type"] == "ByteLevel"
+        self.chunks: Callable[[str], list[str]] = spaced_chunks if self.keeps_space else bare_chunks
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        #: Tokens that a word with its space begins with, or that a word ends with.
+        self.edge = np.zeros(max(vocabulary.values()) + 1, bool)
+        for token, i in vocabulary.items():
+            self.edge[i] = token.startswith("\u0120") if self.keeps_space else token.endswith("</w>")
         self.cache: dict[str, bytes] = {}
 
     def encode(self, texts: Iterable[str]) -> list[bytes]:
@@ -91,13 +102,31 @@ class ChunkEncoder:
             del self.cache[chunk]
         return out
 
+    def encode_chunks(self, chunks: list[str]) -> dict[str, bytes]:
+        """Bytes of the ids of each chunk. Plain words are encoded many at a time."""
+        at = int(self.keeps_space)
+        words = [c for c in chunks if c[:at].isspace() == self.keeps_space and WORD.fullmatch(c, at)]
+        groups = [words[i:i + WORDS_AT_ONCE] for i in range(0, len(words), WORDS_AT_ONCE)]
+        texts = [("" if self.keeps_space else " ").join(g) for g in groups]
+        out: dict[str, bytes] = {}
+        for group, encoded in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+            ids = np.array(encoded.ids, "<u4")
+            edges = np.flatnonzero(self.edge[ids])
+            if len(edges) == len(group):  # else they are encoded one by one below
+                cuts = [*(edges * 4).tolist(), len(ids) * 4] if self.keeps_space else [0, *((edges + 1) * 4).tolist()]
+                raw = ids.tobytes()
+                out.update((w, raw[a:b]) for w, a, b in zip(group, cuts, cuts[1:]))
+        rest = [c for c in chunks if c not in out]
+        for chunk, encoded in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
+            out[chunk] = as_bytes(encoded.ids)
+        return out
+
     def learn(self, fresh: set[str]) -> list[str]:
         """Adds chunks to the cache; returns those that should not stay."""
         cache, room = self.cache, CACHE_CHUNKS - len(self.cache)
         ends = {c: b for c in fresh if (b := c.rstrip(MARKS)) and b != c and plain_letter(b[-1])}
         new = list((fresh - ends.keys()).union(ends.values(), (c[len(b):] for c, b in ends.items())).difference(cache))
-        for chunk, encoded in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            cache[chunk] = as_bytes(encoded.ids)
+        cache.update(self.encode_chunks(new))
         for chunk, body in ends.items():
             cache[chunk] = cache[body] + cache[chunk[len(body):]]
         added = [*new, *ends]
