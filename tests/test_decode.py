@@ -45,7 +45,10 @@ def test_missing_fields_and_nulls_become_zero_values(spark):
      '{"status_code":200.0}', '{"status_code":1e2}', '{"latency_ms":"NaN"}', '{"latency_ms":NaN}',
      '{"event_id":5}', '{"event_id":"t"} x', "null", "", '{"a":1},{"b":2}', '{"a":1}],[{"b":2}',
      '{"anomaly_injected":"true"}', '{"service":{"a":1}}', '{"status_code":99999999999}', "{", "7",
-     '"text"', None],
+     '"text"', None,
+     '{"event_id":"a"},"a":1', '{"event_id":"a"},"end":0', '{"x":1},"message":{"event_id":"a"}',
+     '{"event_id":"a"}]junk', '{"event_id":"a"},{"end":0}]', '{"event_id":"a"},{"end":0}],"b":[1',
+     '{"event_id":"a"},', '{"event_id":"a"}]', '{"event_id":"a"}]}', '{"message":1.0E400}', '{"message":-1.0E400}'],
 )
 def test_quarantined_messages(spark, text):
     assert decode.decode(messages(spark, text)).first().decode_error == decode.BAD_JSON

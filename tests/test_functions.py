@@ -82,7 +82,13 @@ def test_number_or_zero(values):
     "value, digits, even, up",
     [(2.5, 0, "2", "3"), (1.005, 2, "1.00", "1.00"), (0.125, 2, "0.12", "0.13"),
      (-2.5, 0, "-2", "-3"), (1e15, 1, "1000000000000000.0", "1000000000000000.0"),
-     (0.0, 2, "0.00", "0.00"), (150.4987, 0, "150", "150"), (99.995, 2, "100.00", "100.00")],
+     (0.0, 2, "0.00", "0.00"), (150.4987, 0, "150", "150"), (99.995, 2, "100.00", "100.00"),
+     (10000000000000.125, 2, "10000000000000.12", "10000000000000.13"), (0.999, 2, "1.00", "1.00"),
+     (2251799813685249.5, 0, "2251799813685250", "2251799813685250"),
+     (2251799813685248.5, 0, "2251799813685248", "2251799813685249"),
+     (-1e16, 1, "-10000000000000000.0", "-10000000000000000.0"), (1e23, 0, "99999999999999991611392",
+                                                                 "99999999999999991611392"),
+     (-2.0**63, 2, "-9223372036854775808.00", "-9223372036854775808.00")],
 )
 def test_fixed_point(values, value, digits, even, up):
     assert values(text.fixed_point(F.col("x"), digits), x=value) == even
@@ -96,6 +102,7 @@ def test_fixed_point(values, value, digits, even, up):
             st.floats(-1e6, 1e6, allow_nan=False).filter(lambda x: x == 0 or abs(x) > 1e-9),
             st.integers(-10**8, 10**8).map(lambda n: n / 1000),
             st.integers(-10**5, 10**5).map(lambda n: n / 16),
+            st.floats(1e12, 1e20),
         ),
         min_size=20, max_size=60,
     )

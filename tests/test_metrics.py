@@ -27,7 +27,17 @@ def rate_at(df, minute, **kwargs):
 def test_rate_counts_resets_from_zero(spark):
     # 10 -> 20 -> 5 (restart) -> 8: 10 + 5 + 3.
     df = samples(spark, [(0, 10), (15, 20), (30, 5), (45, 8)])
-    assert rate_at(df, 1) == pytest.approx(18 / 60)
+    assert rate_at(df, 1, extrapolate=False) == pytest.approx(18 / 60)
+
+
+def test_steady_counter_has_its_rate(spark):
+    # One count per 15 s: a full window holds both edges and needs no stretching.
+    df = samples(spark, [(15 * i, 100 + i) for i in range(12)])
+    assert rate_at(df, 1) == pytest.approx(1 / 15)
+    assert rate_at(df, 1, extrapolate=False) == pytest.approx(4 / 60)
+    # The sample at the start of the data is the end of a window that holds it alone.
+    assert metrics.rate(df, ["series"], 60, 15).agg(F.min("ts")).first()[0] == START.replace(tzinfo=None) + timedelta(
+        seconds=15)
 
 
 def test_extrapolated_rate_by_hand(spark):
@@ -56,11 +66,11 @@ def test_rate_equals_plain_windows(spark, window_s, step_s):
         value = rng.randrange(5) if rng.random() < 0.05 else value + rng.randrange(9)
         pairs.append((t, value))
     got = {
-        r.s: r.rate for r in metrics.rate(samples(spark, pairs), ["series"], window_s, step_s)
+        r.s: r.rate for r in metrics.rate(samples(spark, pairs), ["series"], window_s, step_s, extrapolate=False)
         .withColumn("s", F.unix_seconds("ts") - int(START.timestamp())).collect()}
     want = {}
     for end in range(step_s, 1200 + window_s + 1, step_s):
-        inside = [v for t, v in pairs if end - window_s <= t < end]
+        inside = [v for t, v in pairs if end - window_s <= t <= end]
         if len(inside) >= 2:
             want[end] = sum(b if b < a else b - a for a, b in zip(inside, inside[1:])) / window_s
     assert got == pytest.approx(want)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidewatch import schemas
 from tidewatch.operators import context, questions, reads
+from tidewatch.sources import tables
 
 NOW = utc(2026, 7, 22, 12)
 
@@ -160,3 +161,18 @@ def test_no_cross_or_nested_loop_join(spark):
     rows = questions.retrieve(qs, anomalies(spark, [anomaly(1, 5)]), rolled, 60)
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_reads_of_stored_tables_prune_by_date(spark, tmp_path):
+    tables.ROLLUP_TABLE.write(buckets(spark, [bucket_row(m, 10.0, 20.0) for m in (-3 * 1440, 0, 10)]), f"{tmp_path}/r")
+    tables.insert_anomalies(anomalies(spark, [anomaly(i, m) for i, m in enumerate((1, 5000))]), f"{tmp_path}/a")
+    rolled = tables.ROLLUP_TABLE.read(spark, f"{tmp_path}/r")
+    found = tables.ANOMALY_TABLE.read(spark, f"{tmp_path}/a")
+    frames = [
+        reads.recent_buckets(rolled, START, 3600), reads.service_health(rolled, START), reads.context_stats(rolled, START),
+        reads.anomaly_feed(found, NOW), reads.context_anomalies(found, NOW),
+    ]
+    for frame in frames:
+        plan = frame._jdf.queryExecution().simpleString()
+        assert "PartitionFilters: [isnotnull(" in plan
+    assert frames[0].count() == 2 and frames[3].count() == 1

@@ -4,7 +4,7 @@ import json
 from datetime import timedelta
 
 import pytest
-from helpers import START, as_set, buckets, event, events, uuid
+from helpers import START, as_set, bucket_row, buckets, event, events, uuid
 from pyspark.sql import functions as F
 from test_detect import noisy
 
@@ -208,15 +208,32 @@ def test_state_baseline_equals_batch_over_restarts(spark, tmp_path):
     for part in (F.col("bucket") < cut, F.col("bucket") >= cut):
         readings.filter(part).coalesce(1).write.mode("append").parquet(path)
         stream = spark.readStream.schema(readings.schema).parquet(path)
-        stream_ewma.error_baselines(stream, s.ewma_alpha).writeStream.format("parquet").option(
-            "path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").outputMode(
-            "append").trigger(availableNow=True).start().awaitTermination()
-    got = spark.read.schema(stream_ewma.OUTPUT).parquet(f"{tmp_path}/out")
+        stream_ewma.start_error_baselines(
+            stream, f"{tmp_path}/state", f"{tmp_path}/out", f"{tmp_path}/cp", s, available_now=True,
+        ).awaitTermination()
+    got = spark.read.parquet(f"{tmp_path}/out").select(*stream_ewma.OUTPUT)
     both = got.select("service", "bucket", F.col("ewma").alias("g")).join(scored, ["service", "bucket"])
     assert got.count() == both.count() == scored.count()
     assert both.agg(F.max(F.abs(F.col("g") - F.col("ewma")))).first()[0] < 1e-9
 
 
+def test_late_bucket_is_judged_and_its_reading_counted(spark, tmp_path):
+    s = DetectSettings()
+    rows = [bucket_row(m, 5000.0 if m == 30 else 100.0 + m % 5, 200.0 + m % 7) for m in range(40)]
+    table, found, state = (f"{tmp_path}/{x}" for x in ("rollup", "anomalies", "state"))
+    late = START + timedelta(minutes=30)
+    parts = [[r for r in rows if r[0] < late], [r for r in rows if r[0] > late], [r for r in rows if r[0] == late]]
+    for batch_id, part in enumerate(parts):
+        tables.ROLLUP_TABLE.write(buckets(spark, part), table)
+        for _ in range(2):  # a repeated batch changes nothing
+            stream_detect.detect_batch(buckets(spark, part), batch_id, table, found, state, s)
+    got = tables.ANOMALY_TABLE.read(spark, found)
+    want = detect.detect(buckets(spark, rows), s)
+    assert as_set(got, "bucket_ts", "anomaly_type") == as_set(want, "bucket_ts", "anomaly_type")
+    assert got.count() == want.count() > 0
+    assert [(r.late_readings, r.batch) for r in stream_ewma.late_readings(spark, state).collect()] == [(1, 2)]
+
+
 def test_watermarked_dedupe_drops_copies(spark, tmp_path):
     rows = [event(i % 50, START + timedelta(seconds=i % 50)) for i in range(150)]
     event_files(spark, f"{tmp_path}/in", [rows])

@@ -23,8 +23,9 @@ NUMBER_PATTERN = r"^[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|Infinity)$"
 
 # Splits a double into two halves whose products with a small integer are exact.
 SPLITTER = 134_217_729.0
-# Beyond this the scaled value no longer fits the integer step below.
+# Beyond this the whole part is formatted by itself, as the scaled value leaves the exact integers.
 FORMAT_LIMIT = 1e13
+TWO_62, TWO_63, TWO_125 = 2.0**62, 2.0**63, 2.0**125
 
 
 def strip(text: Column) -> Column:
@@ -67,26 +68,62 @@ def canonical_uuid(text: Column) -> Column:
     )
 
 
+def _steps(size: Column, scale: float, ties: str, whole: Column | None = None) -> Column:
+    """``size`` in steps of 1/scale, rounded on its exact binary value. ``whole`` is what was
+    taken off before, which makes a tie odd or even where there are no decimals."""
+    scaled = size * scale
+    high = size * SPLITTER - (size * SPLITTER - size)
+    error = (high * scale - scaled) + (size - high) * scale
+    below = F.floor(scaled)
+    excess = scaled - below - 0.5
+    odd = F.pmod(below if whole is None or scale > 1 else whole, F.lit(2)) == 1
+    tie_up = F.lit(True) if ties == "up" else odd
+    up = (excess > 0) | ((excess == 0) & ((error > 0) | ((error == 0) & tie_up)))
+    return below + up.cast("int")
+
+
+def _large(size: Column, digits: int, ties: str) -> Column:
+    """Text of a size from FORMAT_LIMIT up to 2^125, its whole part kept apart."""
+    def split(v: Column) -> Column:
+        whole = F.floor(v)
+        return F.struct(whole.alias("whole"), (v - whole.cast("double")).alias("part"))
+
+    def shown(v: Column) -> Column:
+        steps = _steps(v["part"], float(10**digits), ties, v["whole"])
+        carry = (steps >= 10**digits).cast("int")
+        units = (v["whole"] + carry).cast("string")
+        decimals = F.lpad((steps - carry * 10**digits).cast("string"), digits, "0")
+        return F.concat(units, F.lit("."), decimals) if digits else units
+
+    def halves(v: Column) -> Column:
+        top = F.floor(v / TWO_62)
+        bottom = (v - top.cast("double") * TWO_62).cast("long").cast("decimal(19,0)")
+        high = (top.cast("decimal(19,0)") * F.lit(int(TWO_62)).cast("decimal(19,0)")).cast("decimal(38,0)")
+        return F.concat((high + bottom).cast("string"), F.lit("." + "0" * digits if digits else ""))
+
+    def bound(v: Column, use) -> Column:
+        return F.get(F.transform(F.array(v), use), F.lit(0))
+
+    return F.when(size < TWO_63, bound(bound(size, split), shown)).otherwise(bound(size, halves))
+
+
 def fixed_point(value: Column, digits: int, ties: str = "even") -> Column:
     """``value`` with ``digits`` decimals, rounded on its exact binary value.
 
     Java's own formatter rounds the shortest decimal text instead, which turns
     1.005 (stored slightly below) into 1.01. Here a scaled value that lands on
     a half is decided by the rounding error of the scaling, and only a true
-    tie falls to ``ties``: ``even`` or ``up`` (away from zero). NULL stays NULL.
+    tie falls to ``ties``: ``even`` or ``up`` (away from zero). Holds up to 2^125,
+    where Java's formatter takes over with 17 digits and zeros. NULL stays NULL.
     """
-    scale = float(10**digits)
     size = F.abs(value)
-    scaled = size * scale
-    high = size * SPLITTER - (size * SPLITTER - size)
-    error = (high * scale - scaled) + (size - high) * scale
-    below = F.floor(scaled)
-    excess = scaled - below - 0.5
-    tie_up = F.lit(True) if ties == "up" else F.pmod(below, F.lit(2)) == 1
-    up = (excess > 0) | ((excess == 0) & ((error > 0) | ((error == 0) & tie_up)))
-    rounded = (below + up.cast("int")) / scale
     pattern = f"%.{digits}f"
-    text = F.format_string(pattern, F.when(size < FORMAT_LIMIT, rounded).otherwise(size))
+    rounded = _steps(size, float(10**digits), ties) / float(10**digits)
+    text = (
+        F.when(size < FORMAT_LIMIT, F.format_string(pattern, rounded))
+        .when(size < TWO_125, _large(size, digits, ties))
+        .otherwise(F.format_string(pattern, size))
+    )
     return F.when(value < 0, F.concat(F.lit("-"), text)).when(value.isNotNull(), text)
 
 

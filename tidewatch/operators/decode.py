@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from ..functions.text import UUID_PATTERN, canonical_uuid
 from ..functions.times import parse_rfc3339
@@ -22,18 +24,15 @@ STRICT = {
     "allowSingleQuotes": "false",
     "allowNonNumericNumbers": "false",
 }
-# The message as a member, followed by an end marker: text after the message is
-# then a syntax error or leaves the marker out.
-FRAME = StructType(
-    [
-        StructField("message", LOG_EVENT_JSON),
-        StructField("end", IntegerType()),
-        StructField("_corrupt", StringType()),
-    ]
-)
 # What a text field reads as when its JSON value is a number, a boolean, an
 # object or an array.
-NOT_TEXT = r"^(-?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?$|true$|false$|[{\[])"
+NOT_TEXT = r'^(-?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?$|true$|false$|"?-?Infinity"?$|[{\[])'
+
+
+def _frame(secret: str) -> StructType:
+    """An array under a key that no sender knows: the message, then an end marker."""
+    element = StructType([*LOG_EVENT_JSON.fields, StructField(secret, IntegerType())])
+    return StructType([StructField(f"{secret}_array", ArrayType(element)), StructField("_corrupt", StringType())])
 
 
 def _text_fields_hold_text(message: Column) -> Column:
@@ -61,17 +60,22 @@ def decode(messages: DataFrame, value: str = "value", keep: tuple[str, ...] = ()
     like those are parsed again with types. ``keep`` names columns to carry along.
     """
     raw = F.col("raw")
-    framed = F.concat(F.lit('{"message":'), raw, F.lit(',"end":0}'))
+    # Text after the message is a syntax error, or another element, or another member:
+    # the array under the secret key is then not the message and the marker.
+    secret = f"end_{uuid4().hex}"
+    framed = F.concat(F.lit(f'{{"{secret}_array":['), raw, F.lit(f',{{"{secret}":0}}]}}'))
     texts = messages.select(*keep, F.col(value).cast("string").alias("raw"))
     # The one-element array is unnested so that the optimizer cannot merge the
     # steps and parse the text once per field.
     parsed = texts.select(
-        *keep, "raw", F.explode(F.array(F.from_json(framed, FRAME, STRICT))).alias("f")
+        *keep, "raw", F.explode(F.array(F.from_json(framed, _frame(secret), STRICT))).alias("f")
     )
-    message = F.col("f.message")
+    elements = F.col(f"f.{secret}_array")
+    message = F.get(elements, 0)
     good = (
         F.col("f._corrupt").isNull()
-        & (F.col("f.end") == 0)
+        & (F.size(elements) == 2)
+        & (F.get(elements, 1)[secret] == 0)
         & message.isNotNull()
         & (F.coalesce(F.abs(message["latency_ms"]), F.lit(0.0)) < F.lit(float("inf")))
     )

@@ -82,6 +82,11 @@ def error_bursts(buckets: DataFrame, s: DetectSettings = DEFAULTS) -> DataFrame:
     return _findings(score(buckets, s), [_error_finding(s)])
 
 
+def latency_findings(baselined: DataFrame, s: DetectSettings = DEFAULTS) -> DataFrame:
+    """Findings of the two latency detectors, which need no error baseline."""
+    return _findings(baselined, [_p95(s), _max(s)])
+
+
 def findings(scored: DataFrame, s: DetectSettings = DEFAULTS) -> DataFrame:
     """Findings of all three detectors over scored buckets."""
     return _findings(scored, [_p95(s), _max(s), _error_finding(s)])
@@ -92,14 +97,20 @@ def detect(buckets: DataFrame, s: DetectSettings = DEFAULTS) -> DataFrame:
     return findings(score(buckets, s), s)
 
 
+def closed(as_of, s: DetectSettings = DEFAULTS) -> Column:
+    """Whether a bucket has ended by ``as_of``."""
+    return F.col("bucket") <= seconds_before(as_of, s.width_s)
+
+
 def current_and_history(buckets: DataFrame, as_of, s: DetectSettings = DEFAULTS) -> DataFrame:
-    """Each service's newest bucket in the window, with the others as baseline.
+    """Each service's newest closed bucket in the window, with the others as baseline.
 
+    A bucket is closed at its end, which is ``width_s`` after its start.
     The window holds at most ``window_s / width_s`` buckets of a service.
     """
     recent = buckets.filter(
         (F.col("bucket") >= seconds_before(as_of, s.window_s))
-        & (F.col("bucket") <= F.lit(as_of).cast("timestamp"))
+        & closed(as_of, s)
     )
     newest = Window.partitionBy("service").orderBy(F.col("bucket").desc())
     before = Window.partitionBy("service").orderBy(F.col("bucket").desc()).rowsBetween(
@@ -133,7 +144,7 @@ def snapshot(
     """
     current = current_and_history(buckets, as_of, s)
     if state is None:
-        past = buckets.filter(F.col("bucket") <= F.lit(as_of).cast("timestamp"))
+        past = buckets.filter(closed(as_of, s))
         state = score(past, s).select("service", "bucket", "ewma")
         joined = current.join(state, ["service", "bucket"], "left")
     else:

@@ -160,22 +160,33 @@ def _combined(parts: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 def rate(
     samples: DataFrame, series: list[str], window_s: int, step_s: int,
-    extrapolate: bool = False, out: str = "rate",
+    extrapolate: bool = True, out: str = "rate",
 ) -> DataFrame:
     """Per-second increase of a counter over sliding windows.
 
     Windows end at every multiple of ``step_s`` and cover the ``window_s``
-    before it, which must be a multiple of the step. Counter restarts are
-    counted from zero; a window with one sample has no rate. ``extrapolate``
-    stretches the increase towards the window's edges the way a metrics server
-    does, instead of dividing what was seen by the window length.
+    before it, which must be a multiple of the step. Both edges belong to a
+    window, so a sample on an edge counts in the window that ends there and in
+    the one that starts there. Counter restarts are counted from zero; a window
+    with one sample has no rate. The increase is stretched towards the window's
+    edges the way a metrics server does; without ``extrapolate`` what was seen is
+    divided by the window length.
     """
     if window_s % step_s:
         raise ValueError("window_s must be a multiple of step_s")
     slots = window_s // step_s
+    on_edge = F.col("_t0") == (F.col("_slot") * step_s + F.lit(ORIGIN_S)) * MICROS
     summaries = _summaries(samples, series, step_s).withColumn(
-        "_end", F.explode(F.sequence(F.col("_slot") + 1, F.col("_slot") + slots))
+        "_end", F.explode(F.sequence(F.col("_slot") + 1 - on_edge.cast("int"), F.col("_slot") + slots))
     )
+    # of the slot that starts where a window ends, that window has the first sample alone
+    alone = F.col("_end") == F.col("_slot")
+    summaries = summaries.withColumns({
+        "_t1": F.when(alone, F.col("_t0")).otherwise(F.col("_t1")),
+        "_v1": F.when(alone, F.col("_v0")).otherwise(F.col("_v1")),
+        "_inc": F.when(alone, 0.0).otherwise(F.col("_inc")),
+        "_n": F.when(alone, 1).otherwise(F.col("_n")),
+    })
     windows = _combined(summaries, [*series, "_end"], "_slot").filter(F.col("_n") >= 2)
     increase = F.col("_inc")
     if extrapolate:

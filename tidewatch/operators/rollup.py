@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..config import RollupSettings
 from ..functions.times import MICROS, bucket_start, instant
 from ..schemas import ROLLUP, ROLLUP_KEY
+from .filters import DATE_OF, on_or_after
 from .quantile import select_quantile
 
 DEFAULTS = RollupSettings()
@@ -151,7 +152,9 @@ def refresh(
     first, last = refresh_bounds(as_of, width_s, start_s, end_s)
     bucket, ts = F.col("bucket"), F.col("ts")
     kept = table.filter((bucket < first) | (bucket >= last))
-    touched = events.filter((ts >= first) & (ts < last))
+    touched = on_or_after(events, "ts", first).filter(ts < last)
+    if DATE_OF["ts"] in events.columns:
+        touched = touched.filter(F.col(DATE_OF["ts"]) <= F.to_date(last))
     names = ROLLUP.fieldNames()
     return kept.select(*names).unionByName(rollup(touched, width_s, hot_rows))
 

@@ -60,16 +60,23 @@ ROLLUP = f"""{LOGS}, rollup AS (
     {r('quantile_cont(latency_ms, 0.95)')} AS p95_latency_ms, max(latency_ms) AS max_latency_ms
   FROM log_events GROUP BY 1, 2)"""
 
-BASE = f"""{ROLLUP}, base AS (
-  SELECT *, count(*) OVER h AS history,
+
+
+def baseline(source: str) -> str:
+    """Rollup rows with the statistics of the 60 hours before each."""
+    return f"""SELECT *, count(*) OVER h AS history,
     coalesce(avg(p95_latency_ms) OVER h, 0) AS p95_mean,
     coalesce(stddev_samp(p95_latency_ms) OVER h, 0) AS p95_stddev,
     coalesce(avg(max_latency_ms) OVER h, 0) AS max_mean,
     coalesce(stddev_samp(max_latency_ms) OVER h, 0) AS max_stddev,
     error_count / event_count AS rate
-  FROM rollup
+  FROM {source}
   WINDOW h AS (PARTITION BY service ORDER BY bucket
-    RANGE BETWEEN INTERVAL 60 HOURS PRECEDING AND INTERVAL 1 SECOND PRECEDING))"""
+    RANGE BETWEEN INTERVAL 60 HOURS PRECEDING AND INTERVAL 1 SECOND PRECEDING)"""
+
+
+BASE = f"""{ROLLUP}, base AS (
+  {baseline('rollup')})"""
 
 EWMA = f"""{BASE}, numbered AS (
   SELECT service, bucket, rate, row_number() OVER (PARTITION BY service ORDER BY bucket) AS i
@@ -215,18 +222,31 @@ LATENCY_COUNTER = f"""{LOGS}, counter AS (
 
 
 def rates(series: str, hours: int) -> str:
-    """Plain rate over windows of ``hours`` ending at every full hour."""
+    """Rates over windows of ``hours`` that end at every full hour, both edges included: plain as
+    ``seen``, and stretched to the edges as ``rate``. An edge further away than 1.1 mean gaps
+    between samples is approached by half a gap, and the start not beyond where the counter
+    would have been zero."""
     return f"""windows AS (
-  SELECT {series}, ts AS t, value, unnest(generate_series(date_trunc('hour', ts) + INTERVAL 1 HOUR,
+  SELECT {series}, ts AS t, value, unnest(generate_series(
+    date_trunc('hour', ts) + CASE WHEN ts = date_trunc('hour', ts) THEN INTERVAL 0 HOUR ELSE INTERVAL 1 HOUR END,
     date_trunc('hour', ts) + INTERVAL {hours} HOUR, INTERVAL 1 HOUR)) AS ts FROM counter),
 steps AS (
   SELECT *, lag(value) OVER (PARTITION BY {series}, ts ORDER BY t) AS prev FROM windows),
+spans AS (
+  SELECT {series}, ts, count(*) AS n, arg_min(value, t) AS v0,
+    (epoch_us(max(t)) - epoch_us(min(t))) / 1e6 AS sampled,
+    (epoch_us(min(t)) - epoch_us(ts)) / 1e6 + {hours} * 3600 AS head,
+    (epoch_us(ts) - epoch_us(max(t))) / 1e6 AS tail,
+    sum(CASE WHEN prev IS NULL THEN 0 WHEN value < prev THEN value ELSE value - prev END) AS inc
+  FROM steps GROUP BY {series}, ts HAVING count(*) >= 2),
+edges AS (
+  SELECT *, sampled / (n - 1) AS gap,
+    CASE WHEN inc > 0 AND v0 >= 0 THEN sampled * v0 / inc ELSE 'inf'::DOUBLE END AS zero FROM spans),
 rates AS (
-  SELECT {series}, ts, count(*) AS n, min(t) AS t0, max(t) AS t1, arg_min(value, t) AS v0,
-    sum(CASE WHEN prev IS NULL THEN 0 WHEN value < prev THEN value ELSE value - prev END) AS inc,
-    sum(CASE WHEN prev IS NULL THEN 0 WHEN value < prev THEN value ELSE value - prev END)
-      / ({hours} * 3600) AS rate
-  FROM steps GROUP BY {series}, ts HAVING count(*) >= 2)"""
+  SELECT {series}, ts, inc / ({hours} * 3600) AS seen,
+    inc * (sampled + least(CASE WHEN head < gap * 1.1 THEN head ELSE gap / 2 END, zero)
+      + CASE WHEN tail < gap * 1.1 THEN tail ELSE gap / 2 END) / sampled / ({hours} * 3600) AS rate
+  FROM edges)"""
 
 
 def quantile(source: str, by: str, count: str, phi: float) -> str:
@@ -241,20 +261,9 @@ def quantile(source: str, by: str, count: str, phi: float) -> str:
 
 
 SERVICE_RATES = f"WITH {COUNTER}, {rates('service', 6)}"
-STRETCH = f"""SELECT service, ts, inc,
-    epoch_us(t1) - epoch_us(t0) AS sampled, epoch_us(t0) - (epoch_us(ts) - 6 * 3600000000) AS head,
-    epoch_us(ts) - epoch_us(t1) AS tail, (epoch_us(t1) - epoch_us(t0)) / (n - 1) AS gap, v0
-  FROM rates"""
-EXTRAPOLATED = f"""{SERVICE_RATES}, spans AS ({STRETCH}), edges AS (
-  SELECT *, CASE WHEN head < gap * 1.1 THEN head ELSE gap / 2 END AS h,
-    CASE WHEN tail < gap * 1.1 THEN tail ELSE gap / 2 END AS e,
-    CASE WHEN inc > 0 AND v0 >= 0 THEN sampled * v0 / inc END AS zero FROM spans)
-SELECT service, ts, {r('inc * (sampled + least(h, coalesce(zero, h)) + e) / sampled / 21600')} AS rate
-FROM edges"""
-
 SNAPSHOT = f"""{EWMA}, recent AS (
   SELECT * FROM rollup WHERE bucket >= TIMESTAMP '2024-01-05 18:30:00' - INTERVAL 60 HOURS
-    AND bucket <= TIMESTAMP '2024-01-05 18:30:00'),
+    AND bucket + INTERVAL 1 HOUR <= TIMESTAMP '2024-01-05 18:30:00'),
 current AS (SELECT service, max(bucket) AS bucket FROM recent GROUP BY 1),
 past AS (
   SELECT r.service, count(*) AS history, avg(p95_latency_ms) AS p95_mean,
@@ -371,7 +380,7 @@ ORACLES: dict[str, str] = {
         FROM histogram""",
     "win_current_vs_history": f"""WITH {ROLLUP}, recent AS (SELECT * FROM rollup
           WHERE bucket >= TIMESTAMP '2024-01-29 12:00:00' - INTERVAL 60 HOURS
-            AND bucket <= TIMESTAMP '2024-01-29 12:00:00'),
+            AND bucket + INTERVAL 1 HOUR <= TIMESTAMP '2024-01-29 12:00:00'),
         last AS (SELECT service, max(bucket) AS bucket FROM recent GROUP BY 1)
         SELECT l.service, l.bucket, count(r.bucket) AS history,
           {r('coalesce(avg(p95_latency_ms), 0)')} AS p95_mean,
@@ -437,7 +446,7 @@ ORACLES: dict[str, str] = {
     "fn_fixed_format": f"""WITH {LOGS}, e AS (SELECT *, floor(latency_ms * 8) / 8 AS eighth FROM log_events)
         SELECT event_id, printf('%.2f', latency_ms / 3) AS two, printf('%.1f', latency_ms) AS one,
         printf('%.0f', 1 - latency_ms) AS none, printf('%.2f', eighth) AS tie_even,
-        {half_up('eighth', 2)} AS tie_up, {half_up('eighth', 0)} AS tie_whole FROM e""",
+        printf('%.2f', 10000000000000 + eighth) AS large, {half_up('eighth', 2)} AS tie_up, {half_up('eighth', 0)} AS tie_whole FROM e""",
     "fn_iso_ts": f"""WITH {LOGS} SELECT event_id, {iso('ts')} AS exact,
         {iso("date_trunc('second', ts)")} AS whole FROM log_events""",
     "fn_upper_severity": f"WITH RECURSIVE {ANOMALIES} SELECT id, upper(severity) AS severity FROM anomalies",
@@ -459,6 +468,9 @@ ORACLES: dict[str, str] = {
     "st_rollup": f"""WITH {ROLLUP} SELECT * FROM rollup
         WHERE bucket + INTERVAL 1 HOUR <= (SELECT max(ts) FROM log_events)""",
     "st_detect": f"""WITH RECURSIVE {ANOMALIES} SELECT * REPLACE ({AS_OF} AS detected_at) FROM anomalies""",
+    "st_detect_late": f"""WITH {ROLLUP}, prompt AS (SELECT * FROM rollup WHERE hour(bucket) % 4 <> 3),
+        base AS ({baseline('prompt')} UNION ALL SELECT * FROM ({baseline('rollup')}) WHERE hour(bucket) % 4 = 3)
+        SELECT * REPLACE ({ROUNDED}) FROM ({SPIKE} UNION ALL {OUTLIER})""",
     "st_ewma_state": f"""WITH RECURSIVE {EWMA} SELECT service, bucket, {r('rate')} AS rate, {r('ewma')} AS ewma
         FROM ewma""",
     "st_refresh_window": f"""WITH {ROLLUP} SELECT * REPLACE (CASE WHEN {REFRESHED} THEN error_count ELSE -1 END
@@ -466,8 +478,8 @@ ORACLES: dict[str, str] = {
     "st_late_data": f"""WITH {LOGS} SELECT time_bucket(INTERVAL '1 hour', ts) AS bucket, service,
         count(*) AS late_events, max(epoch_us(ingested_at) - epoch_us(ts)) / 1e6 AS max_delay_s FROM log_events
         WHERE ingested_at - ts > INTERVAL 10 MINUTES GROUP BY 1, 2""",
-    "ts_rate": f"{SERVICE_RATES} SELECT service, ts, {r('rate')} AS rate FROM rates",
-    "ts_rate_extrapolated": EXTRAPOLATED,
+    "ts_rate": f"{SERVICE_RATES} SELECT service, ts, {r('seen')} AS rate FROM rates",
+    "ts_rate_extrapolated": f"{SERVICE_RATES} SELECT service, ts, {r('rate')} AS rate FROM rates",
     "ts_sum": f"{SERVICE_RATES} SELECT ts, {r('sum(rate)')} AS rate FROM rates GROUP BY 1",
     "ts_sum_by": f"""WITH RECURSIVE {SEVERITY_COUNTER}, {rates('service, anomaly_type, severity', 24)}
         SELECT ts, severity, {r('sum(rate)')} AS rate FROM rates GROUP BY 1, 2""",

@@ -15,7 +15,7 @@ from ..operators import (
     baseline, context, decode, detect, filters, keys, metrics, questions, reads, rollup,
 )
 from ..schemas import LOG_EVENTS
-from ..session import ROCKSDB_PROVIDER, STATE_PROVIDER, setting, shared_dir
+from ..session import shared_dir
 from ..sources import kafka, samples, tables
 from ..sources.samples import AS_OF, SETTINGS, WIDTH_S
 from ..streaming import detect as stream_detect
@@ -111,8 +111,11 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = F.substring("event_id", 25, 12).cast("long")
     body = kafka.as_json()
     form = F.pmod(number, F.lit(8))
+    tails = F.array(*[F.lit(t) for t in (
+        " tail", ',"a":1', ',"end":0', ',"message":{}', "]junk", ',{"end":0}]', "}", ',{"event_id":"a"}',
+    )])
     value = (
-        F.when(form == 1, F.concat(body, F.lit(" tail")))
+        F.when(form == 1, F.concat(body, F.element_at(tails, (F.pmod(number, F.lit(64)) / 8 + 1).cast("int"))))
         .when(form == 2, F.regexp_replace(body, '"status_code":([0-9]+)', '"status_code":"$1"'))
         .when(form == 3, F.regexp_replace(body, r"\}$", ',"extra":[1,2]}'))
         .when(form == 4, F.regexp_replace(body, '"level":"[A-Z]+"', '"level":null'))
@@ -775,6 +778,7 @@ def fn_fixed_format(spark, sf_dir):
         "tie_even": text.fixed_point(eighth, 2),
         "tie_up": text.fixed_point(eighth, 2, ties="up"),
         "tie_whole": text.fixed_point(eighth, 0, ties="up"),
+        "large": text.fixed_point(10_000_000_000_000 + eighth, 2),
     }
     return logs(spark, sf_dir).select("event_id", *[c.alias(n) for n, c in shown.items()])
 
@@ -936,14 +940,27 @@ def st_ewma_state(spark, sf_dir):
     stream = spark.readStream.schema("service string, bucket timestamp, rate double").parquet(
         f"{path}/readings"
     )
-    baselines = stream_ewma.error_baselines(stream, SETTINGS.ewma_alpha)
-    writer = baselines.writeStream.format("parquet").option("path", f"{path}/out").option(
-        "checkpointLocation", f"{path}/checkpoint"
-    )
-    with setting(spark, STATE_PROVIDER, ROCKSDB_PROVIDER):
-        writer.outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    rows = spark.read.schema(stream_ewma.OUTPUT).parquet(f"{path}/out")
-    return rounded(rows, "rate", "ewma")
+    stream_ewma.start_error_baselines(
+        stream, f"{path}/state", f"{path}/out", f"{path}/checkpoint", SETTINGS, available_now=True
+    ).awaitTermination()
+    return rounded(spark.read.parquet(f"{path}/out").select(*stream_ewma.OUTPUT), "rate", "ewma")
+
+
+@query
+def st_detect_late(spark, sf_dir):
+    """Latency findings when every fourth hour's buckets come one batch after all others."""
+    path = shared_dir(spark, "late")
+    tables.ROLLUP_TABLE.write(buckets(spark, sf_dir), f"{path}/all")
+    rolled = tables.ROLLUP_TABLE.read(spark, f"{path}/all").drop("bucket_date")
+    held = F.hour("bucket") % 4 == 3
+    for batch_id, part in enumerate((~held, held)):
+        tables.ROLLUP_TABLE.write(rolled.filter(part), f"{path}/rollup")
+        stream_detect.detect_batch(
+            rolled.filter(part), batch_id, f"{path}/rollup", f"{path}/anomalies", f"{path}/state",
+            SETTINGS, AS_OF,
+        )
+    found = tables.ANOMALY_TABLE.read(spark, f"{path}/anomalies")
+    return _found(found.filter(F.col("anomaly_type") != detect.ERROR_BURST).select(*detect.FINDING))
 
 
 @query
@@ -969,7 +986,7 @@ def st_late_data(spark, sf_dir):
 @query
 def ts_rate(spark, sf_dir):
     rates = metrics.rate(
-        counter(logs(spark, sf_dir)), ["service"], RATE_WINDOW_S, RATE_STEP_S
+        counter(logs(spark, sf_dir)), ["service"], RATE_WINDOW_S, RATE_STEP_S, extrapolate=False
     )
     return rounded(rates, "rate")
 
@@ -977,7 +994,7 @@ def ts_rate(spark, sf_dir):
 @query
 def ts_rate_extrapolated(spark, sf_dir):
     rates = metrics.rate(
-        counter(logs(spark, sf_dir)), ["service"], RATE_WINDOW_S, RATE_STEP_S, extrapolate=True
+        counter(logs(spark, sf_dir)), ["service"], RATE_WINDOW_S, RATE_STEP_S
     )
     return rounded(rates, "rate")
 

@@ -2,34 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..config import DetectSettings
 from ..functions.times import seconds_before
 from ..operators.baseline import trailing_baseline
-from ..operators.detect import as_records, findings
+from ..operators.detect import as_records, findings, latency_findings
 from ..operators.ewma import final_state, with_error_baseline
+from ..operators.filters import on_or_after
 from ..schemas import ROLLUP
 from ..sources.tables import ROLLUP_TABLE, insert_anomalies
+from .ewma import read_state, report_late, with_lateness, write_state
 
 DEFAULTS = DetectSettings()
-STATE = "service string, last_bucket timestamp, ewma double"
-
-
-def _state_place(state_path: str, batch_id: int) -> str:
-    return f"{state_path}/before={batch_id}"
-
-
-def _read_state(spark: SparkSession, state_path: str, batch_id: int) -> DataFrame:
-    try:
-        return spark.read.schema(STATE).parquet(_state_place(state_path, batch_id))
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], STATE)
 
 
 def detect_batch(
@@ -42,49 +29,46 @@ def detect_batch(
     bucket, for the services concerned. The error baseline goes on from the
     state written before this batch; the state after it has a folder of its
     own, so repeating a batch reads the same state and writes the same rows.
-    Buckets not newer than the state have been judged and are skipped.
+
+    A bucket that is not newer than its service's baseline came late or again.
+    Its latencies are judged like those of any other; findings made before have
+    the same ids and stay as they are. Its error reading can no longer be folded
+    in order and is counted in ``ewma.late_readings``. Buckets judged before it
+    arrived are not judged again.
     """
     spark = buckets.sparkSession
-    state = _read_state(spark, state_path, batch_id)
-    judged = state.select("service", "last_bucket")
-    new = (
-        buckets.select(*ROLLUP.fieldNames())
-        .join(judged, "service", "left")
-        .filter(F.col("last_bucket").isNull() | (F.col("bucket") > F.col("last_bucket")))
-        .select(*ROLLUP.fieldNames())
-        .persist()
-    )
+    state = read_state(spark, state_path, batch_id)
+    new = with_lateness(buckets.select(*ROLLUP.fieldNames()), state).persist()
     kept = [new]
     try:
         oldest, newest = new.agg(F.min("bucket"), F.max("bucket")).first()
         if oldest is None:
-            state.write.mode("overwrite").parquet(_state_place(state_path, batch_id + 1))
+            write_state(state, state.limit(0), state_path, batch_id)
             return
         begin = seconds_before(oldest, settings.window_s)
-        stored = ROLLUP_TABLE.read(spark, rollup_path).filter(
-            (F.col("bucket") >= begin)
-            & (F.col("bucket") <= F.lit(newest))
-            & (F.col(ROLLUP_TABLE.partition) >= F.to_date(begin))
+        stored = on_or_after(ROLLUP_TABLE.read(spark, rollup_path), "bucket", begin).filter(
+            (F.col("bucket") <= F.lit(newest))
+            & (F.col(ROLLUP_TABLE.partition) <= F.to_date(F.lit(newest)))
         )
-        keys = new.select("bucket", "service", F.lit(True).alias("_new"))
+        keys = new.select("bucket", "service", "late")
         history = stored.select(*ROLLUP.fieldNames()).join(keys, ["bucket", "service"], "left_anti")
-        together = history.unionByName(new).join(
+        together = history.unionByName(new.drop("late")).join(
             new.select("service").distinct(), "service", "left_semi"
         )
-        baselined = trailing_baseline(together, settings).join(keys, ["bucket", "service"])
+        baselined = trailing_baseline(together, settings).join(keys, ["bucket", "service"]).persist()
+        kept.append(baselined)
         scored = with_error_baseline(
-            baselined.drop("_new"), settings.ewma_alpha, state
+            baselined.filter("not late").drop("late"), settings.ewma_alpha, state
         ).persist()
         kept.append(scored)
+        late = baselined.filter("late").drop("late")
         when = detected_at if detected_at is not None else F.current_timestamp()
-        records = as_records(findings(scored, settings), when).persist()
+        found = findings(scored, settings).unionByName(latency_findings(late, settings))
+        records = as_records(found, when).persist()
         kept.append(records)
         insert_anomalies(records, anomalies_path)
-        after = final_state(scored, settings.ewma_alpha)
-        untouched = state.join(after.select("service"), "service", "left_anti")
-        untouched.unionByName(after).write.mode("overwrite").parquet(
-            _state_place(state_path, batch_id + 1)
-        )
+        write_state(state, final_state(scored, settings.ewma_alpha), state_path, batch_id)
+        report_late(late.filter("eligible and rate is not null"), state_path, batch_id)
     finally:
         for frame in kept:
             frame.unpersist()

@@ -1,79 +1,101 @@
-"""Error-rate baseline per service as keyed stream state."""
+"""Error-rate baseline per service, carried from batch to batch in a state table."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import (
-    DoubleType,
-    LongType,
-    StringType,
-    StructField,
-    StructType,
-    TimestampType,
-)
-
-STATE = StructType(
-    [StructField("last_bucket_us", LongType()), StructField("ewma", DoubleType())]
-)
-OUTPUT = StructType(
-    [
-        StructField("service", StringType()),
-        StructField("bucket", TimestampType()),
-        StructField("rate", DoubleType()),
-        StructField("ewma", DoubleType()),
-    ]
-)
-
-
-class ErrorRateBaseline(StatefulProcessor):
-    """Keeps (last bucket, baseline); emits the baseline each reading met.
-
-    A bucket that is not newer than the last one was already folded, so a
-    repeated row changes nothing.
-    """
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
-    def __init__(self, alpha: float):
-        self.alpha = alpha
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("baseline", STATE)
-
-    def handleInputRows(
-        self, key, rows: Iterator[pd.DataFrame], timerValues
-    ) -> Iterator[pd.DataFrame]:
-        readings = pd.concat(list(rows)).dropna(subset=["rate"]).sort_values("bucket")
-        saved = self.state.get() if self.state.exists() else None
-        last, ewma = (saved[0], saved[1]) if saved else (None, None)
-        out = []
-        for bucket, rate in zip(readings["bucket"], readings["rate"]):
-            micros = bucket.value // 1000
-            if last is not None and micros <= last:
-                continue
-            before = rate if ewma is None else ewma
-            ewma = self.alpha * rate + (1.0 - self.alpha) * before
-            last = micros
-            out.append((key[0], bucket, rate, before))
-        if out:
-            self.state.update((int(last), float(ewma)))
-        yield pd.DataFrame(out, columns=OUTPUT.fieldNames())
-
-    def close(self) -> None:
-        pass
-
-
-def error_baselines(readings: DataFrame, alpha: float) -> DataFrame:
-    """Baselines of a stream of (service, bucket, rate) readings.
-
-    The readings are closed buckets, one per service and bucket, so a batch
-    holds few rows per service. Needs the RocksDB state store.
-    """
-    return readings.groupBy("service").transformWithStateInPandas(
-        statefulProcessor=ErrorRateBaseline(alpha),
-        outputStructType=OUTPUT,
-        outputMode="Append",
-        timeMode="None",
+from ..config import DetectSettings
+from ..functions.times import ORIGIN_S, steps_down
+from ..operators.ewma import final_state, with_error_baseline
+
+DEFAULTS = DetectSettings()
+STATE = "service string, last_bucket timestamp, ewma double"
+OUTPUT = ["service", "bucket", "rate", "ewma"]
+LATE = "service string, late_readings bigint, batch int"
+
+
+def state_place(state_path: str, batch_id: int) -> str:
+    return f"{state_path}/before={batch_id}"
+
+
+def read_state(spark: SparkSession, state_path: str, batch_id: int) -> DataFrame:
+    try:
+        return spark.read.schema(STATE).parquet(state_place(state_path, batch_id))
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], STATE)
+
+
+def write_state(state: DataFrame, after: DataFrame, state_path: str, batch_id: int) -> None:
+    """The state that the batch behind this one starts from; services without news keep theirs."""
+    untouched = state.join(after.select("service"), "service", "left_anti")
+    untouched.unionByName(after).write.mode("overwrite").parquet(
+        state_place(state_path, batch_id + 1)
     )
+
+
+def with_lateness(buckets: DataFrame, state: DataFrame) -> DataFrame:
+    """Adds ``late``: whether the service's baseline has moved past the bucket already."""
+    last = state.select("service", "last_bucket")
+    late = F.coalesce(F.col("bucket") <= F.col("last_bucket"), F.lit(False))
+    return buckets.join(last, "service", "left").withColumn("late", late).drop("last_bucket")
+
+
+def report_late(readings: DataFrame, state_path: str, batch_id: int) -> None:
+    """Counts the readings of a batch that came too late to be folded, per service."""
+    readings.groupBy("service").agg(F.count("*").alias("late_readings")).write.mode(
+        "overwrite"
+    ).parquet(f"{state_path}/late/batch={batch_id}")
+
+
+def late_readings(spark: SparkSession, state_path: str) -> DataFrame:
+    """Readings per service and batch that were not folded: those that came after a newer one
+    of their service, and those delivered again."""
+    return spark.read.schema(LATE).parquet(f"{state_path}/late")
+
+
+def baseline_batch(
+    readings: DataFrame, batch_id: int, state_path: str, out_path: str,
+    settings: DetectSettings = DEFAULTS,
+) -> None:
+    """Folds a batch of (service, bucket, rate) and writes the baseline each reading met.
+
+    Readings are folded in order of time; those that came too late for it are counted. The
+    state before the batch and its output have folders of their own, so a repeated batch
+    writes the same rows.
+    """
+    state = read_state(readings.sparkSession, state_path, batch_id)
+    marked = with_lateness(readings.filter("rate is not null"), state).persist()
+    try:
+        secs = F.unix_seconds("bucket") - F.lit(ORIGIN_S)
+        fresh = marked.filter("not late").select(
+            "service", "bucket", "rate", F.lit(True).alias("eligible"),
+            steps_down(secs, settings.chunk_s).alias("chunk"),
+        )
+        scored = with_error_baseline(fresh, settings.ewma_alpha, state)
+        place = f"{out_path}/batch={batch_id}"
+        scored.select(*OUTPUT).write.mode("overwrite").parquet(place)
+        written = readings.sparkSession.read.schema(scored.select(*OUTPUT).schema).parquet(place)
+        write_state(state, final_state(written, settings.ewma_alpha), state_path, batch_id)
+        report_late(marked.filter("late"), state_path, batch_id)
+    finally:
+        marked.unpersist()
+
+
+def start_error_baselines(
+    readings: DataFrame, state_path: str, out_path: str, checkpoint: str,
+    settings: DetectSettings = DEFAULTS, poll_s: int = 15, available_now: bool = False,
+) -> StreamingQuery:
+    """Starts the fold over a stream of readings of closed buckets."""
+
+    def fold(batch: DataFrame, batch_id: int) -> None:
+        baseline_batch(batch, batch_id, state_path, out_path, settings)
+
+    writer = readings.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint)
+    if available_now:
+        return writer.trigger(availableNow=True).start()
+    return writer.trigger(processingTime=f"{poll_s} seconds").start()
