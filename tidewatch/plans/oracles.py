@@ -318,7 +318,8 @@ ORACLES: dict[str, str] = {
         service, endpoint, CASE WHEN form = 4 THEN '' ELSE level END AS level, status_code, latency_ms,
         message, CASE WHEN form = 6 THEN substr(trace_id, 10) ELSE trace_id END AS trace_id, anomaly_injected
         FROM messages WHERE form NOT IN (1, 2)""",
-    "st_quarantine": f"""WITH {MESSAGES} SELECT CASE form WHEN 1 THEN body || ' tail'
+    "st_quarantine": f"""WITH {MESSAGES} SELECT CASE form WHEN 1 THEN body || [' tail', ',"a":1', ',"end":0',
+          ',"message":{{}}', ']junk', ',{{"end":0}}]', '}}', ',{{"event_id":"a"}}'][number % 64 // 8 + 1]
         WHEN 2 THEN regexp_replace(body, '"status_code":([0-9]+)', '"status_code":"\\1"')
         WHEN 5 THEN regexp_replace(body, 'T(\\d\\d:\\d\\d:\\d\\d)', ' \\1')
         ELSE replace(body, '"trace_id":"00000000-', '"trace_id":"') END AS raw,
