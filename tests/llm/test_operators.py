@@ -316,3 +316,35 @@ def test_label_model_finds_good_voters():
     model = toxicity.fit_label_model(ballots, counts, known)
     assert ((model.posterior(ballots)[inverse.ravel()] > 0.5) == y).mean() > 0.93
     assert model.weights[3] < model.weights[0] and model.correlations[3, 4] > 0.9
+
+
+def test_line_links_equal_brute_force(spark):
+    """Similarity is that of all 8-character shingles, of short, middle and long lines."""
+    rnd = random.Random(14)
+    word = lambda: "".join(rnd.choices("eeeetaoinshrdlué", k=rnd.randrange(2, 9)))
+    rows, pairs = [], []
+    for k in range(240):
+        line = " ".join(word() for _ in range((7, 22, 120)[k % 3]))
+        edited = list(line)
+        first = rnd.choice([0, len(line) - 5])  # edits near an end spoil fewer shingles
+        for at in rnd.sample(range(first, len(line)), rnd.randrange(1, 2 + min(3, len(line) // 60))):
+            edited[at] = "Z"
+        pairs.append((line, "".join(edited)))
+        rows += [(2 * k, line), (2 * k + 1, pairs[-1][1])]
+    found = {r.doc_id: r.class_doc_id for r in line_dedup.classes(documents(spark, rows)).collect()}
+
+    def grams(text):
+        return {text[i:i + 8] for i in range(max(1, len(text) - 7))}
+
+    share = [len(a & b) / len(a | b) for x, y in pairs for a, b in [(grams(x), grams(y))]]
+    linked = [found[2 * k + 1] == 2 * k for k in range(len(pairs))]
+    assert not any(x for x, j in zip(linked, share) if j < 0.8)
+    for kind in range(3):
+        near = [x for x, j in list(zip(linked, share))[kind::3] if j >= 0.8]
+        assert len(near) >= 15 and sum(near) >= 0.95 * len(near)
+
+
+def test_one_letter_of_a_line(spark):
+    line = "we left the house before the rest were there, then the others came here and everyone ate bread near the green trees"
+    found = line_dedup.classes(documents(spark, [(1, line), (2, line.replace("house", "hXuse"))])).collect()
+    assert {r.class_doc_id for r in found} == {1}
