@@ -36,6 +36,8 @@ CLOSES = {
     "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr", "td", "th"]),
     "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"]), "option": frozenset(["option"]),
 }
+#: What may stand in a head; anything else ends it, as does text.
+IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 FENCES = frozenset("html body table td th ul ol dl div article section main aside nav header footer form blockquote".split())
 PARAGRAPHS = frozenset("p pre blockquote td li dd".split())
 ARTICLES = frozenset(["article", "main"])
@@ -72,6 +74,8 @@ def build(html: str) -> Tree:
         if at < 0:
             at = n
         if at > pos:
+            if tags[stack[-1]] == "head" and not html[pos:at].isspace():
+                stack.pop()
             events.append((stack[-1], html[pos:at]))
         if at == n:
             break
@@ -95,6 +99,8 @@ def build(html: str) -> Tree:
         if html[at + 1] == "/":
             close(tag, tags, stack, events)
             continue
+        if tags[stack[-1]] == "head" and tag not in IN_HEAD:
+            stack.pop()
         if tag in RAW:
             if rest[0][-2:-1] != "/" or tag not in ("svg", "math"):
                 found = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(html, pos)
