@@ -348,3 +348,13 @@ def test_one_letter_of_a_line(spark):
     line = "we left the house before the rest were there, then the others came here and everyone ate bread near the green trees"
     found = line_dedup.classes(documents(spark, [(1, line), (2, line.replace("house", "hXuse"))])).collect()
     assert {r.class_doc_id for r in found} == {1}
+
+
+@pytest.mark.parametrize("page", [
+    "<!doctype html><html><head><title>T</title><meta charset=utf-8><body><p>The text, whole.</p></body></html>",
+    "<html><head><title>T</title><link rel=x href=y>\n<p>The text, whole.</p></html>",
+    "<head><style>b{}</style>The text, whole.", "<title>T</title><p>The text, whole.</p>",
+    "<html><head><title>T</title></head><p>The text, whole.</p>", "<head><script>1</script><b>The text, whole.</b>",
+])
+def test_head_without_end(page):
+    assert html.main_text(page) == "The text, whole."
