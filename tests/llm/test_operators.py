@@ -358,3 +358,28 @@ def test_one_letter_of_a_line(spark):
 ])
 def test_head_without_end(page):
     assert html.main_text(page) == "The text, whole."
+
+
+def test_siblings_of_the_best_container():
+    body = "".join(f"<p>Paragraph {k} of the body, with a comma, and words enough.</p>" for k in range(10))
+    page = ("<body><div class=content><h1>Title</h1><p class=lead>The lead.</p><div class=body>" + body + "</div><section>"
+            "<h2>More</h2><p>One short section.</p></section><p>Outro</p><ul><li><a href=x>Other page</a></li></ul></div></body>")
+    lines = html.main_text(page).split("\n")
+    assert lines[:2] == ["Title", "The lead."] and lines[-3:] == ["More", "One short section.", "Outro"] and len(lines) == 15
+
+
+@pytest.mark.parametrize("every", [3, 4, 5])
+def test_edited_copies_equal_brute_force(spark, every):
+    rnd = random.Random(every)
+    words = [f"w{k}" for k in range(400)]
+    items = [[rnd.choice(words) for _ in range(n)] for n in (12, 20, 20, 50, 50)]
+    rows = []
+    for k in range(40):
+        text = [rnd.choice(words) for _ in range(60)]
+        text[20:20] = [w if i % every != every - 1 else "other" for i, w in enumerate(items[k % 5])]
+        rows.append((k, " ".join(text)))
+    rows += [(100 + k, " ".join(w)) for k, w in enumerate(items * 4)]  # whole copies make the n-grams frequent
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    want = {(d, i) for d, t in rows for i, w in enumerate(items) if decontaminate.align(w, t.split())[0] >= decontaminate.SCORE}
+    assert {(r.doc_id, r.item_id) for r in decontaminate.copies(documents(spark, rows), bench).collect()} == want
+    assert len(want) >= 60

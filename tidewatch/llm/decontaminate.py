@@ -1,4 +1,4 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment."""
+"""Benchmark decontamination: n-gram seeds, whatever their frequency, then Smith-Waterman alignment."""
 
 from __future__ import annotations
 
@@ -10,10 +10,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, stored
+from .common import map_texts
 
 WORD = re.compile(r"\w+")
-GRAM = 4
+#: Pairs of words: an item of which each third word was replaced still has some.
+GRAM = 2
 #: Items with fewer words are too short to be told from chance and match nothing.
 LEAST_WORDS = 6
 #: Share of an item's best possible score from which a passage counts as a copy of it.
@@ -23,8 +24,7 @@ MATCH, MISMATCH, GAP = 2, -1, -1
 MARGIN = 10
 #: Test items looked for in one pass over the documents.
 ITEMS = 20_000
-FOUND = pa.schema([("doc_id", pa.int64()), ("doc_key", pa.int64()), ("item", pa.int32()), ("grams", pa.list_(pa.int32())),
-                   ("begin", pa.int64()), ("passage", pa.string())])
+FOUND = pa.schema([("doc_id", pa.int64()), ("doc_key", pa.int64()), ("item", pa.int32()), ("begin", pa.int64()), ("passage", pa.string())])
 ALIGNED = pa.schema([("doc_id", pa.int64()), ("doc_key", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()),
                      ("start", pa.int64()), ("end", pa.int64())])
 
@@ -75,34 +75,35 @@ def gram_index(items: list[tuple[int, list[str]]]) -> tuple[dict[tuple, int], li
     return numbers, places
 
 
-def seeded(words: list[str], numbers: dict, places: list, lengths: list[int]) -> Iterator[tuple[int, set[int], int, int]]:
-    """Item, its n-grams and the words' range for each stretch of a text with n-grams of an item."""
-    hits: dict[int, list[tuple[int, int, int]]] = {}
+def seeded(words: list[str], numbers: dict, places: list, lengths: list[int]) -> Iterator[tuple[int, int, int]]:
+    """Item and the words' range for each stretch of a text with n-grams of an item."""
+    hits: dict[int, list[int]] = {}
     for at, gram in enumerate(zip(*[words[k:] for k in range(GRAM)])):
         if gram in numbers:
             n = numbers[gram]
             for item, k in places[n]:
-                hits.setdefault(item, []).append((at - k, at, n))
+                hits.setdefault(item, []).append(at - k)
     for item, found in hits.items():
         reach, group, last = lengths[item] + 2 * MARGIN, [], None
-        for start, at, n in sorted(found):
+        for start in sorted(found):
             if group and start - last > reach:
                 yield span(item, group, lengths[item], len(words))
                 group = []
-            group.append((start, n))
+            group.append(start)
             last = start
         yield span(item, group, lengths[item], len(words))
 
 
-def span(item: int, group: list[tuple[int, int]], length: int, n: int) -> tuple[int, set[int], int, int]:
-    begin = max(group[0][0] - MARGIN, 0)
-    return item, {g for _, g in group}, begin, min(group[-1][0] + length + MARGIN, n)
+def span(item: int, group: list[int], length: int, n: int) -> tuple[int, int, int]:
+    return item, max(group[0] - MARGIN, 0), min(group[-1] + length + MARGIN, n)
 
 
-def candidates(docs: DataFrame, items: list[tuple[int, list[str]]], id_col: str, text_col: str) -> DataFrame:
-    """Every stretch of every document with an n-gram of an item. One scan, no shuffle."""
+def candidates(docs: DataFrame, items: list[tuple[int, list[str]]], score: float, id_col: str, text_col: str) -> DataFrame:
+    """Every stretch of every document with an n-gram of an item, unless it has too few of the
+    item's words for the score. One scan, no shuffle."""
     numbers, places = gram_index(items)
     lengths = [len(w) for _, w in items]
+    vocabularies = [frozenset(w) for _, w in items]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -110,31 +111,21 @@ def candidates(docs: DataFrame, items: list[tuple[int, list[str]]], id_col: str,
             for doc_id, key, text in zip(*(c.to_pylist() for c in b.columns)):
                 words = words_of(text)
                 spots = None
-                for item, grams, begin, end in seeded(words, numbers, places, lengths):
+                for item, begin, end in seeded(words, numbers, places, lengths):
+                    own = vocabularies[item]
+                    if sum(w in own for w in words[begin:end]) < score * lengths[item] - 1e-9:
+                        continue
                     spots = spots or [m.span() for m in WORD.finditer(text)]
                     if len(spots) != len(words):  # lower-casing moved a boundary: keep the whole text
-                        out.append((doc_id, key, item, sorted(grams), 0, text))
+                        out.append((doc_id, key, item, 0, text))
                         continue
                     first, last = spots[begin][0], spots[end - 1][1]
-                    out.append((doc_id, key, item, sorted(grams), first, text[first:last]))
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * 6, FOUND)], schema=FOUND)
+                    out.append((doc_id, key, item, first, text[first:last]))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * 5, FOUND)], schema=FOUND)
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("doc_key"), text.alias("text"))
-    return map_texts(rows, run, "doc_id long, doc_key long, item int, grams array<int>, begin long, passage string")
-
-
-def rare_grams(found: DataFrame, items: list[tuple[int, list[str]]]) -> set[int]:
-    """For each item, its n-grams that are not more frequent in the corpus than three in four of
-    its own. The counts are of all documents; there are as many as the items have n-grams."""
-    counts = {r.g: r.n for r in found.select(F.explode("grams").alias("g")).groupBy("g").agg(F.count("*").alias("n")).collect()}
-    numbers, _ = gram_index(items)
-    rare = set()
-    for _, words in items:
-        grams = {numbers[tuple(words[k:k + GRAM])] for k in range(len(words) - GRAM + 1)}
-        limit = sorted(counts.get(g, 0) for g in grams)[(3 * len(grams) - 1) // 4]
-        rare |= {g for g in grams if counts.get(g, 0) <= limit}
-    return rare
+    return map_texts(rows, run, "doc_id long, doc_key long, item int, begin long, passage string")
 
 
 def copies(docs: DataFrame, benchmark: DataFrame, score: float = SCORE, id_col: str = "doc_id", text_col: str = "text",
@@ -156,19 +147,16 @@ def copies(docs: DataFrame, benchmark: DataFrame, score: float = SCORE, id_col:
     for k in range(max(1, rows.select(blocks).first()[0] if rows.take(1) else 1)):
         part = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.greatest(blocks, F.lit(1))) == k).collect()
         items = [(r.item_id, words) for r in part if len(words := words_of(r.text)) >= LEAST_WORDS]
-        found = stored(candidates(docs, items, id_col, text_col), "seeded")
-        aligned = best_passages(found, items, rare_grams(found, items), score)
+        aligned = best_passages(candidates(docs, items, score, id_col, text_col), items, score)
         out = aligned if out is None else out.unionByName(aligned)
     return out
 
 
-def best_passages(found: DataFrame, items: list[tuple[int, list[str]]], rare: set[int], score: float) -> DataFrame:
+def best_passages(found: DataFrame, items: list[tuple[int, list[str]]], score: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for doc_id, key, item, grams, begin, passage in zip(*(c.to_pylist() for c in b.columns)):
-                if rare.isdisjoint(grams):
-                    continue
+            for doc_id, key, item, begin, passage in zip(*(c.to_pylist() for c in b.columns)):
                 item_id, words = items[item]
                 share, first, last = align(words, words_of(passage))
                 if share >= score and last > first:
