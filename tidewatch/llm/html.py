@@ -1,7 +1,8 @@
 """Main text of web pages by tree scoring.
 
 Paragraphs pass points for length and commas to their ancestors, which lose them by their
-share of link text. The best container and its siblings that score are kept, without menus,
+share of link text. The best container is kept, and of its siblings the paragraphs, headings and
+containers of paragraphs that are not mostly links, without menus,
 headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments.
 """
 
@@ -40,6 +41,9 @@ CLOSES = {
 IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 FENCES = frozenset("html body table td th ul ol dl div article section main aside nav header footer form blockquote".split())
 PARAGRAPHS = frozenset("p pre blockquote td li dd".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+#: Share of link text up to which what stands beside the best container is kept.
+LINKED = 0.5
 ARTICLES = frozenset(["article", "main"])
 #: Words of a class or id that mark what is no article; the first group as a whole word, the second as its beginning.
 WORDS = frozenset(
@@ -200,9 +204,10 @@ def containers(tree: Tree, bad: list[bool]) -> list[int]:
             size[k] += chars
             commas[block[k]] += text.count(",")
             linked[k] += chars if link[k] else 0
-    score = [0.0] * n
+    score, says = [0.0] * n, [False] * n
     for k in range(1, n):
         if own[k] and block[k] == k and (tree.tag[k] in PARAGRAPHS or own[k] >= 25 and tree.tag[k][0] != "h"):
+            says[k] = True
             points, up, share = 1 + commas[k] + min(own[k] / 100, 3), tree.parent[k], 1.0
             while up >= 0 and share > 0.1:
                 score[up] += points * share
@@ -212,6 +217,7 @@ def containers(tree: Tree, bad: list[bool]) -> list[int]:
         linked[tree.parent[k]] += linked[k]
     for k in range(n):
         score[k] *= 1 - linked[k] / size[k] if size[k] else 0
+    sparse = [linked[k] <= LINKED * size[k] for k in range(n)]
     able = [k for k in range(n) if score[k] > 0 and not bad[k] and tree.tag[k] not in INLINE and tree.tag[k] != "html"]
     if not able:
         return []
@@ -221,11 +227,10 @@ def containers(tree: Tree, bad: list[bool]) -> list[int]:
         if tree.tag[up] in ARTICLES:
             best = up
         up = tree.parent[up]
-    least = max(10.0, 0.2 * score[best])
-    return [
-        k for k in able
-        if k == best or best and tree.parent[k] == tree.parent[best] and tree.tag[best] != "body" and score[k] >= least
-    ]
+    if not best or tree.tag[best] == "body":
+        return [best]
+    beside = [k for k in range(1, n) if tree.parent[k] == tree.parent[best] and size[k] and not bad[k]]
+    return [k for k in beside if k == best or sparse[k] and (score[k] > 0 or says[k] or tree.tag[k] in HEADINGS)]
 
 
 def main_text(html: str | None) -> str:
