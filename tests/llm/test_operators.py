@@ -383,3 +383,27 @@ def test_edited_copies_equal_brute_force(spark, every):
     want = {(d, i) for d, t in rows for i, w in enumerate(items) if decontaminate.align(w, t.split())[0] >= decontaminate.SCORE}
     assert {(r.doc_id, r.item_id) for r in decontaminate.copies(documents(spark, rows), bench).collect()} == want
     assert len(want) >= 60
+
+
+def test_unlabelled_insults_and_posteriors(spark, monkeypatch):
+    """Insults and patterns that no labelled row has raise the score; targets are the label model's."""
+    texts = [(k, ("zorg " if k % 4 == 0 else "calm ") + f"plain words number {k}") for k in range(200)]
+    docs = documents(spark, [*texts, (1000, "plain words, imbecile"), (1001, "go to hell now"), (1002, "plain words")])
+    labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(200)], "doc_id long, toxic int")
+    seen, fit_linear, fit_model = {}, toxicity.fit_linear, toxicity.fit_label_model
+
+    def label_model(distinct, counts, known):
+        seen["model"], seen["ballots"] = fit_model(distinct, counts, known), distinct
+        return seen["model"]
+
+    def linear(rows, target, names, **more):
+        seen["target"] = target
+        return fit_linear(rows, target, names, **more)
+
+    monkeypatch.setattr(toxicity, "fit_label_model", label_model)
+    monkeypatch.setattr(toxicity, "fit_linear", linear)
+    model = toxicity.fit(docs, labels)
+    assert set(seen["target"]) == set(seen["model"].posterior(seen["ballots"]))
+    clean = model.score("plain words")
+    assert model.score("plain words, imbecile") > 0.5 and model.score("go to hell now") > 0.5
+    assert model.score("zorg again") > 0.5 > clean

@@ -22,13 +22,21 @@ WORD = re.compile(r"[^\W_]+")
 STEMS = (3, 4, 5, 6, 7, 8)
 #: A lexicon entry is in so many toxic documents at least, and so many of its documents are toxic.
 SUPPORT, SURE, DOUBTFUL = 6, 0.95, 0.5
-#: The label model's posterior of a ballot counts as so many labelled rows with that ballot.
-BELIEF = 10
 #: Common insults, the lexicon that needs no labels.
 INSULTS = frozenset(
     "bastard clown creep dimwit disgusting dumb filth fool garbage hate idiot idiots imbecile jerk kill liar "
     "loser losers moron morons pathetic pig scum shit shut sick stupid subhuman trash ugly vermin worthless".split()
 )
+PROFANITY = frozenset("arse arsehole ass asshole bitch bollocks bullshit crap cunt damn dick fuck fucked fucker fucking piss prick shit twat wanker whore".split())
+#: Patterns that need no labels either, looked for in lower-case text.
+PATTERNS = {
+    "address": re.compile(r"\b(?:you(?: are|'re|\u2019re)?|u r) (?:an? |all |such an? |just an? |so )?(?:" + "|".join(sorted(INSULTS)) + r")\b"),
+    "threat": re.compile(r"\b(?:(?:i will|i'll|we will|we'll|gonna|going to) (?:kill|hurt|beat|shoot|find) (?:you|him|her|them)|kill yourself|drop dead|go to hell)\b"),
+    "hatred": re.compile(r"\b(?:(?:i|we|everyone) hates? (?:you|him|her|them|those|these)|shut (?:up|your mouth)|get lost)\b"),
+    "masked": re.compile(r"\b[a-z]+[*@#$]{2,}[a-z]*"),
+}
+#: What the fixed lexicons and patterns weigh in the classifier before any row is seen.
+MARK_WEIGHT = 3.0
 
 
 def entries(text: str) -> set[str]:
@@ -58,19 +66,30 @@ def mine_lexicon(sample: DataFrame, support: int = SUPPORT, doubtful: float = DO
     return {r.entry: r.toxic / r.n for r in counted.collect()}
 
 
-VOTERS = ("insults", "words", *(f"stem{n}" for n in STEMS), "several", "doubtful", "nothing")
+MARKS = ("#insults", "#profanity", *("#" + p for p in PATTERNS))
 
 
-def votes(found: list[str], lexicon: dict[str, float], insult: bool) -> tuple[int, ...]:
+def marks(text: str) -> list[str]:
+    """Which fixed lexicons and patterns a text hits."""
+    lower = text.lower()
+    words = set(WORD.findall(lower))
+    out = ["#insults"] * (not INSULTS.isdisjoint(words)) + ["#profanity"] * (not PROFANITY.isdisjoint(words))
+    return out + ["#" + name for name, pattern in PATTERNS.items() if pattern.search(lower)]
+
+
+VOTERS = (*MARKS, "words", *(f"stem{n}" for n in STEMS), "several", "doubtful", "nothing")
+
+
+def votes(found: list[str], lexicon: dict[str, float], hit: list[str]) -> tuple[int, ...]:
     """What each of VOTERS says of the lexicon entries a text has: 1, 0, or -1 for no opinion."""
     sure = [e for e in found if lexicon[e] >= SURE]
     lengths = {len(e) - 1 for e in sure if e[-1] == "-"}
     roots = {e[:STEMS[0]] for e in sure}
     says = [
-        insult, any(e[-1] != "-" for e in sure), *(n in lengths for n in STEMS), len(roots) > 1,
+        *(m in hit for m in MARKS), any(e[-1] != "-" for e in sure), *(n in lengths for n in STEMS), len(roots) > 1,
         len(found) > len(sure) == 0,
     ]
-    return (*(1 if s else -1 for s in says), 0 if not found and not insult else -1)
+    return (*(1 if s else -1 for s in says), 0 if not found and not hit else -1)
 
 
 @dataclass
@@ -137,13 +156,14 @@ def conditional_correlations(ballots: np.ndarray, weight: np.ndarray) -> np.ndar
 
 @dataclass
 class Linear:
-    """Weights of lexicon entries and the intercept."""
+    """Weights of lexicon entries and of MARKS, and the intercept."""
 
     weights: dict[str, float]
     bias: float
 
     def score(self, text: str) -> float:
-        total, known = self.bias, self.weights
+        known = self.weights
+        total = self.bias + sum(known.get(m, 0.0) for m in marks(text))
         words = set(WORD.findall(text.lower()))
         seen = set()
         for w in words:
@@ -157,17 +177,20 @@ class Linear:
 
 
 def fit_linear(rows: list[list[int]], target: np.ndarray, names: list[str], ridge: float = 1e-3,
-               steps: int = 300) -> Linear:
-    """Logistic regression of soft targets on which entries a text has, by Adam on all rows."""
+               steps: int = 300, prior: dict[str, float] | None = None) -> Linear:
+    """Logistic regression of soft targets on which entries a text has, by Adam on all rows.
+
+    prior: weights that the ridge pulls to instead of 0; they stay where no row has the entry."""
     lengths = np.array([len(r) for r in rows], int)
     cols = np.array([c for r in rows for c in r], int)
     owner = np.repeat(np.arange(len(rows)), lengths)
-    w, bias = np.zeros(len(names)), 0.0
+    centre = np.array([(prior or {}).get(n, 0.0) for n in names])
+    w, bias = centre.copy(), 0.0
     m, v = np.zeros(len(names) + 1), np.zeros(len(names) + 1)
     for step in range(1, steps + 1 if len(rows) else 1):
         z = bias + np.bincount(owner, w[cols], len(rows))
         error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - target) / len(rows)
-        grad = np.append(np.bincount(cols, error[owner], len(names)) + ridge / len(rows) * w, error.sum())
+        grad = np.append(np.bincount(cols, error[owner], len(names)) + ridge / len(rows) * (w - centre), error.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         move = 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
         w, bias = w - move[:-1], bias - move[-1]
@@ -175,15 +198,14 @@ def fit_linear(rows: list[list[int]], target: np.ndarray, names: list[str], ridg
 
 
 def cast_votes(docs: DataFrame, lexicon: dict[str, float], text_col: str = "text") -> DataFrame:
-    """docs with two more columns: __votes (one number per voter) and __found (lexicon entries)."""
+    """docs with two more columns: __votes (one number per voter) and __found (lexicon entries and MARKS)."""
     @F.pandas_udf("votes array<int>, found array<string>")
     def cast(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             out = []
             for t in texts:
-                all_entries = entries(t)
-                found = sorted(all_entries & lexicon.keys())
-                out.append((list(votes(found, lexicon, not INSULTS.isdisjoint(all_entries))), found))
+                found, hit = sorted(entries(t) & lexicon.keys()), marks(t)
+                out.append(([int(v) for v in votes(found, lexicon, hit)], found + hit))
             yield pd.DataFrame(out, columns=["votes", "found"])
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -197,7 +219,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int
     """The classifier, from at most max_rows labelled documents whose crc32(id) mod 5 is not 0.
 
     Labels tell which words the mined lexicons hold and start the label model, which then sees
-    how the voters agree; the classifier is fitted on its posteriors alone.
+    how the voters agree; the classifier is fitted on its posteriors alone. Fixed lexicons and
+    patterns vote and are features too, with a weight of their own where no labelled row has them.
     """
     text_batches(docs.sparkSession)
     sample = labelled(docs, labels, label, max_rows, id_col, text_col)
@@ -207,17 +230,16 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int
         .orderBy(F.xxhash64("__id"), "__id", "__found").limit(max_rows).toPandas()
     )
     if rows.empty:
-        return Linear({w: 3.0 for w in sorted(INSULTS)}, -2.0)
+        return Linear({m: MARK_WEIGHT for m in MARKS}, -2.0)
     ballots = np.array(rows["__votes"].tolist(), int)
     distinct, inverse, counts = np.unique(ballots, axis=0, return_inverse=True, return_counts=True)
     inverse = inverse.ravel()
     toxic = np.bincount(inverse, rows["label"].to_numpy(float), len(distinct))
     known = np.stack([counts - toxic, toxic], axis=1)
-    target = fit_label_model(distinct, counts, known).posterior(distinct)
-    target = ((BELIEF * target + toxic) / (BELIEF + counts))[inverse]
-    names = sorted(lexicon)
+    target = fit_label_model(distinct, counts, known).posterior(distinct)[inverse]
+    names = [*MARKS, *sorted(lexicon)]
     at = {n: i for i, n in enumerate(names)}
-    return fit_linear([[at[e] for e in r] for r in rows["__found"]], target, names)
+    return fit_linear([[at[e] for e in r] for r in rows["__found"]], target, names, prior={m: MARK_WEIGHT for m in MARKS})
 
 
 def score_column(model: Linear, text: Column | str) -> Column:
