@@ -17,7 +17,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines of which an equal or similar one is kept elsewhere."""
-    return line_dedup.without_repeats(docs)
+    return line_dedup.without_repeats(docs, exact_chars=1)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -407,3 +407,10 @@ def test_unlabelled_insults_and_posteriors(spark, monkeypatch):
     clean = model.score("plain words")
     assert model.score("plain words, imbecile") > 0.5 and model.score("go to hell now") > 0.5
     assert model.score("zorg again") > 0.5 > clean
+
+
+def test_equal_short_lines(spark):
+    docs = documents(spark, [(1, "All rights reserved\nok\n \u3000\n\n你好"), (2, "你好\nok\nAll rights reserved"), (3, "All rights reserve")])
+    found = {(r.doc_id, r.line_no): r.class_doc_id for r in line_dedup.classes(docs).collect()}
+    assert found == {(1, 0): 1, (1, 1): 1, (1, 4): 1, (2, 0): 1, (2, 1): 1, (2, 2): 1, (3, 0): 3}
+    assert {r.doc_id for r in line_dedup.without_repeats(docs, exact_chars=1).collect()} == {1, 3}
