@@ -21,7 +21,8 @@ def made(spark, pairs, errors=1):
 
 
 def last_only(pairs):
-    return START + timedelta(minutes=len(pairs) - 1, seconds=20)
+    """The moment at which the last bucket is closed."""
+    return START + timedelta(minutes=len(pairs))
 
 
 def kinds(df):
@@ -61,7 +62,7 @@ def test_error_burst_from_saved_state(spark):
     df = buckets(spark, [bucket_row(i, 100.0, 150.0, 2) for i in range(5)]
                  + [bucket_row(5, 100.0, 150.0, 60)])
     state = spark.createDataFrame([("checkout", 0.02)], "service string, ewma double")
-    at = START + timedelta(minutes=5, seconds=30)
+    at = START + timedelta(minutes=6)
     assert kinds(detect.snapshot(df, at, state=state)) == {"error_burst"}
     # A service without any state starts from its own reading.
     nobody = spark.createDataFrame([], "service string, ewma double")

@@ -52,8 +52,7 @@ def test_many_dates_become_a_range(spark, tmp_path, monkeypatch):
 def test_lookback_prunes_partitions(spark, tmp_path):
     path = str(tmp_path / "events")
     tables.EVENTS_TABLE.write(events(spark, [event(i, START + timedelta(days=i)) for i in range(5)]), path)
-    recent = filters.since(
-        tables.EVENTS_TABLE.read(spark, path), "ts", START + timedelta(days=5), 2 * 86400, "event_date")
+    recent = filters.since(tables.EVENTS_TABLE.read(spark, path), "ts", START + timedelta(days=5), 2 * 86400)
     assert recent.count() == 2
     plan = recent._jdf.queryExecution().executedPlan().toString()
     filters_part = plan.split("PartitionFilters: ")[1].split("]")[0]

@@ -215,7 +215,7 @@ def sink_time_partitioned(spark, sf_dir):
     path = shared_dir(spark, "events-by-date")
     tables.EVENTS_TABLE.write(logs(spark, sf_dir), path)
     stored = tables.EVENTS_TABLE.read(spark, path)
-    return filters.since(stored, "ts", AS_OF, 7 * DAY, "event_date").select(
+    return filters.since(stored, "ts", AS_OF, 7 * DAY).select(
         "event_id", "ts", "service", "event_date"
     )
 
