@@ -20,7 +20,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="sample tables
 
 
 def test_registered():
-    assert {f"op{n}_" for n in range(1, 11)} == {q[:q.index("_") + 1] for q in QUERIES}
+    assert {f"op{n}_" for n in range(1, 14)} == {q[:q.index("_") + 1] for q in QUERIES}
     assert {*QUERIES, "pipeline"} <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
 
 

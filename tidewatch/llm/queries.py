@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embeddings, html, line_dedup, packing, quality, simhash, token_files, tokens, toxicity, warc
+from . import collocations, conversations, decontaminate, embeddings, html, line_dedup, packing, quality, secret_parts, simhash, token_files, tokens, toxicity, warc
 from .common import stored, table
 
 END_OF_PACKED, END_OF_ENCODED = 1, 2
@@ -75,10 +75,26 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of all documents, weak ones where their other parts are near."""
+    return secret_parts.scan(table(spark, sf_dir, "documents"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first phrases of each language by their weakest cut."""
+    found = collocations.collocations(table(spark, sf_dir, "documents"))
+    return found.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of all conversations, damaged before."""
+    return conversations.repair(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_simhash, op2_warc, op3_packing, op4_lines, op5_decontamination, op6_html, op7_embeddings,
-        op8_token_files, op9_toxicity, op10_quality,
+        op8_token_files, op9_toxicity, op10_quality, op11_secrets, op12_collocations, op13_conversations,
     )
 }
 ORACLES: dict[str, str] = {
@@ -112,4 +128,36 @@ ORACLES: dict[str, str] = {
         SELECT vec_id, coalesce(n.n, 0) AS n_links, component_id, vec_id = component_id AS kept
         FROM v JOIN c ON vec_id = c.a LEFT JOIN n ON vec_id = n.a
     """,
+    "op12_collocations": r"""
+        WITH t AS (
+            SELECT coalesce(lang, 'und') AS lang,
+                   translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents
+        ), pieces AS (SELECT lang, unnest(string_split_regex(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM t),
+        p AS (SELECT lang, regexp_extract_all(piece, '[^ \t]+') AS words FROM pieces),
+        totals AS (SELECT lang, sum(len(words)) AS n FROM p GROUP BY lang),
+        g AS (
+            SELECT lang, size, list_slice(words, pos, pos + size - 1) AS ws, count(*) AS f
+            FROM (SELECT lang, words, size, unnest(range(1, len(words) - size + 2)) AS pos
+                  FROM p, (SELECT unnest(range(1, 6)) AS size))
+            GROUP BY ALL HAVING count(*) >= 100
+        ), covered AS (
+            SELECT DISTINCT lang, unnest([list_slice(ws, 1, size - 1), list_slice(ws, 2, size)]) AS ws, f FROM g WHERE size > 2
+        ), cuts AS (
+            SELECT lang, ws, size, f AS a, unnest(range(1, size)) AS k FROM g WHERE size > 1
+        ), scored AS (
+            SELECT c.lang, c.ws, c.a, c.k, l.f AS l, r.f AS r, n,
+                   (1000::HUGEINT * c.a * n // (l.f::HUGEINT * r.f))::BIGINT AS score
+            FROM cuts c JOIN totals USING (lang)
+            JOIN g l ON l.lang = c.lang AND l.ws = list_slice(c.ws, 1, k)
+            JOIN g r ON r.lang = c.lang AND r.ws = list_slice(c.ws, k + 1, c.size)
+        ), weakest AS (
+            SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, ws ORDER BY score, k) = 1
+        ), named AS (
+            SELECT lang, array_to_string(w.ws, ' ') AS phrase, a, l, r, n, score FROM weakest w
+            WHERE NOT EXISTS (SELECT 1 FROM covered c WHERE c.lang = w.lang AND c.ws = w.ws AND c.f = w.a)
+        )
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank,
+               phrase, a, l, r, n::BIGINT AS n, score
+        FROM named QUALIFY rank <= 2000
+    """,
 }
