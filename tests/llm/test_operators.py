@@ -167,32 +167,6 @@ def test_lines(spark):
     assert line_dedup.without_repeats(twice).count() == 1
 
 
-def test_line_recall(spark):
-    """Edited lines meet the line they come from."""
-    rnd = random.Random(4)
-    letters = "etaoinshrdlu"
-    word = lambda: "".join(rnd.choices(letters, k=rnd.randrange(2, 9)))
-    rows, n = [], 120
-    for k in range(n):
-        words = [word() for _ in range(80)]
-        rows.append((2 * k, " ".join(words)))
-        words[rnd.randrange(80)] = word()
-        rows.append((2 * k + 1, " ".join(words)))
-    found = {r.doc_id: r.class_doc_id for r in line_dedup.classes(documents(spark, rows)).collect()}
-    assert all(c // 2 == d // 2 for d, c in found.items())
-
-    def grams(text):
-        parts = text.split("e")
-        return set(zip(parts, parts[1:]))
-
-    texts = dict(rows)
-    share = [len(a & b) / len(a | b) for k in range(n) for a, b in [(grams(texts[2 * k]), grams(texts[2 * k + 1]))]]
-    linked = [found[2 * k + 1] == 2 * k for k in range(n)]
-    assert not any(x for x, j in zip(linked, share) if j < 0.8)
-    near = [x for x, j in zip(linked, share) if j >= 0.8]
-    assert len(near) > 90 and sum(near) >= 0.92 * len(near)
-
-
 def test_decontamination(spark):
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon"
     words = item.split()

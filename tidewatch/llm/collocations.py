@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batch, map_texts, stored
+from .common import batch, bitmap_of, map_texts, stored
 from .quotient_filter import Code, Shape, combined
 
 MIN_COUNT, MAX_WORDS, TOP = 100, 5, 2000
@@ -131,14 +131,7 @@ class Bitmap:
     @staticmethod
     def of(grams: DataFrame, code: Code, n: int) -> Bitmap:
         bits = min(max(LEAST_MAP, (16 * n).bit_length()), MOST_MAP, code.high)
-        place = F.shiftrightunsigned("hi", 64 - bits) + 1
-        parts = grams.groupBy(F.bitmap_bucket_number(place).alias("k")).agg(
-            F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")
-        )
-        raw = bytearray(max(1 << bits, 32_768) // 8)
-        for row in parts.toLocalIterator():
-            raw[(row.k - 1) * 4096:row.k * 4096] = row.bits
-        return Bitmap(code, bits, bytes(raw))
+        return Bitmap(code, bits, bitmap_of(grams, F.shiftrightunsigned("hi", 64 - bits), bits))
 
     def has(self, hi: np.ndarray) -> np.ndarray:
         place = (hi >> np.uint64(64 - self.bits)).astype(np.int64)

@@ -45,3 +45,15 @@ def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
 def training_row(doc_id: Column | str) -> Column:
     """Whether labels of a document may be learnt from: crc32 of its id mod 5 is not 0."""
     return F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id) % 5 != 0
+
+
+def bitmap_of(rows: DataFrame, place: Column, bits: int) -> bytes:
+    """2**bits bits, of which those at the rows' places are set; built by Spark, so the driver has only the result."""
+    at = place + 1  # the functions count buckets of 32,768 from 1
+    parts = rows.groupBy(F.bitmap_bucket_number(at).alias("k")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")
+    )
+    raw = bytearray(max(1 << bits, 32_768) // 8)
+    for row in parts.toLocalIterator():
+        raw[(row.k - 1) * 4096:row.k * 4096] = row.bits
+    return bytes(raw)

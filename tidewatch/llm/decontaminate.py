@@ -1,4 +1,11 @@
-"""Benchmark decontamination: n-gram seeds, whatever their frequency, then Smith-Waterman alignment."""
+"""Benchmark decontamination: rare n-gram seeds, an equality join, then Smith-Waterman alignment.
+
+One pass counts how often the n-grams of the test items (1 to 4 words) occur in the documents outside of
+longer matches, so that copies of an item do not make its own n-grams common. Those that are rare are seeds,
+n-grams of 4 words always; a stretch of an item without a rare one has its rarest. A second pass finds the seeds in the
+documents, and a join by seed gives the places of items. Places on nearby diagonals make a
+passage; passages with two words of the item under seeds (one, if that is a copy), and enough of its words in all, are aligned.
+"""
 
 from __future__ import annotations
 
@@ -7,33 +14,227 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_texts
+from .common import batch, bitmap_of, map_texts, stored
 
 WORD = re.compile(r"\w+")
-#: Pairs of words: an item of which each third word was replaced still has some.
-GRAM = 2
-#: Items with fewer words are too short to be told from chance and match nothing.
-LEAST_WORDS = 6
+#: Words of the longest seeds.
+GRAM = 4
+#: Items with fewer words match nothing.
+LEAST_WORDS = 1
+#: An n-gram is rare that occurs at most this often, or in this share of as many places as there are documents.
+RARE, RARE_SHARE = 20, 1 / 5_000
+#: Words of an item in which there is at least one seed, if any of its n-grams occurs at all.
+STRETCH, RAREST = 8, 2
 #: Share of an item's best possible score from which a passage counts as a copy of it.
 SCORE = 0.4
 MATCH, MISMATCH, GAP = 2, -1, -1
-#: Words on both sides of a seeded stretch that the alignment may also use.
+#: Words on both sides of the seeds' diagonals that the alignment may also use, at least.
 MARGIN = 10
-#: Test items looked for in one pass over the documents.
-ITEMS = 20_000
-FOUND = pa.schema([("doc_id", pa.int64()), ("doc_key", pa.int64()), ("item", pa.int32()), ("begin", pa.int64()), ("passage", pa.string())])
+#: N-grams that are sent to the tasks one by one at most; beyond that a bitmap alone sorts out, and the join decides.
+LISTED = 2_000_000
+#: Words whose hash a task remembers.
+KNOWN_WORDS = 500_000
+
+U = np.uint64
+HITS = pa.schema([("doc_id", pa.int64()), ("doc_key", pa.int64()), ("gram", pa.int64()), ("at", pa.int64())])
+COUNTS = pa.schema([("gram", pa.int64()), ("f", pa.int64())])
+GRAMS = pa.schema([("item", pa.int64()), ("place", pa.int32()), ("n", pa.int32()), ("words", pa.int32()), ("gram", pa.int64())])
+SPOTS = pa.schema([("doc_id", pa.int64()), ("doc_key", pa.int64()), ("item", pa.int64()), ("begin", pa.int64()), ("end", pa.int64())])
 ALIGNED = pa.schema([("doc_id", pa.int64()), ("doc_key", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()),
                      ("start", pa.int64()), ("end", pa.int64())])
 
 
-def words_of(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+class WordHashes(dict):
+    """64 bits for each word in lower case, never 0; remembered up to a bound."""
+
+    def __missing__(self, word: str) -> int:
+        from xxhash import xxh64_intdigest
+
+        if len(self) >= KNOWN_WORDS:
+            self.clear()
+        self[word] = h = xxh64_intdigest(word.lower().encode("utf-8", "surrogatepass")) or 1
+        return h
+
+
+def hashes_of(text: str, known: WordHashes) -> np.ndarray:
+    words = WORD.findall(text)
+    return np.fromiter(map(known.__getitem__, words), U, len(words))
+
+
+def gram_hashes(words: np.ndarray) -> list[np.ndarray]:
+    """For 1 to GRAM words, the hash of the n-gram that begins at each place. A 0 in words stands between texts."""
+    out, mixed = [], words
+    for n in range(1, GRAM + 1):
+        if n > 1:
+            mixed = mixed[:-1] * U(0x9E3779B97F4A7C15) + words[n - 1:]
+        h = (mixed ^ (mixed >> U(31))) * U(0xD6E8FEB86659FD93) + U(n)
+        out.append(h ^ (h >> U(32)))
+    return out
+
+
+class Wanted:
+    """The n-grams to look for: a bitmap of bounded size, and the list itself if it is short."""
+
+    def __init__(self, bits: int, raw: bytes, listed: np.ndarray | None):
+        self.bits, self.raw, self.listed = bits, raw, listed
+
+    @staticmethod
+    def of(grams: DataFrame) -> Wanted:
+        n = grams.count()
+        bits = min(max(18, (64 * n).bit_length()), 27)
+        raw = bitmap_of(grams, F.shiftrightunsigned("gram", 64 - bits), bits)
+        listed = None
+        if n <= LISTED:
+            listed = np.sort(grams.select("gram").toArrow().column(0).to_numpy().view(U))
+        return Wanted(bits, raw, listed)
+
+    def has(self, grams: np.ndarray) -> np.ndarray:
+        held = np.frombuffer(self.raw, np.uint8)
+        place = (grams >> U(64 - self.bits)).astype(np.int64)
+        found = (held[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
+        if self.listed is not None and found.any():
+            at = np.flatnonzero(found)
+            near = np.minimum(np.searchsorted(self.listed, grams[at]), len(self.listed) - 1)
+            found[at] = self.listed[near] == grams[at]
+        return found
+
+
+def matches(words: np.ndarray, wanted: Wanted) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Hashes of 1 to GRAM words, and at which places they are wanted."""
+    inside = words != 0
+    for n, grams in enumerate(gram_hashes(words)):
+        found = wanted.has(grams)
+        for k in range(n + 1):
+            found &= inside[k:len(words) - n + k]
+        yield grams, found
+
+
+def joined(texts: list[str], known: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes of all texts with a 0 after each, and where each begins."""
+    parts = [hashes_of(t, known) for t in texts]
+    starts = np.cumsum([0, *(len(p) + 1 for p in parts)])
+    out = np.zeros(max(int(starts[-1]), GRAM), U)
+    for p, at in zip(parts, starts.tolist()):
+        out[at:at + len(p)] = p
+    return out, starts
+
+
+def item_grams(items: DataFrame) -> DataFrame:
+    """item, place, n, words (those of the item) and gram of every n-gram of the items."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
+        for b in batches:
+            for item, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                words, _ = joined([text], known)
+                size = int((words != 0).sum())
+                for n, grams in enumerate(gram_hashes(words[:size]) if size else [], 1):
+                    m = max(size - n + 1, 0)
+                    yield batch(GRAMS, np.full(m, item), np.arange(m), np.full(m, n), np.full(m, size), grams[:m].view(np.int64))
+
+    return map_texts(items.select("item", "text"), run, "item long, place int, n int, words int, gram long")
+
+
+def background(rows: DataFrame, wanted: Wanted) -> DataFrame:
+    """gram, f: how often the wanted n-grams occur without being part of a longer one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
+        for b in batches:
+            words, _ = joined(b.column(2).to_pylist(), known)
+            levels = list(matches(words, wanted))
+            for n, (grams, found) in enumerate(levels):
+                alone = found.copy()
+                if n + 1 < GRAM:
+                    longer = levels[n + 1][1]
+                    alone[:len(longer)] &= ~longer
+                    alone[1:len(longer) + 1] &= ~longer
+                values, counts = np.unique(grams[alone], return_counts=True)
+                yield batch(COUNTS, values.view(np.int64), counts)
+
+    return map_texts(rows, run, "gram long, f long").groupBy("gram").agg(F.sum("f").alias("f"))
+
+
+def seeds_of(grams: DataFrame, counts: DataFrame, n_docs: int) -> DataFrame:
+    """The n-grams that are joined: the longest, the rare, and the rarest of stretches without any."""
+    rare = max(RARE, int(n_docs * RARE_SHARE))
+    known = grams.join(counts, "gram", "left").withColumn("f", F.coalesce("f", F.lit(0)))
+    known = known.withColumns({
+        "seed": (F.col("n") == GRAM) | (F.col("f") <= rare), "stretch": F.floor(F.col("place") / STRETCH),
+    })
+    part = Window.partitionBy("item", "stretch")
+    rank = F.rank().over(part.orderBy("f"))
+    few = F.count_if((F.col("f") <= rare) & (F.col("n") <= 2)).over(part) == 0
+    return known.withColumns({"few": few, "rank": rank}).where(
+        F.col("seed") | (F.col("few") & (F.col("rank") <= RAREST))
+    ).select("gram", "item", "place", "n", "words")
 
 
-def align(item: list[str], words: list[str]) -> tuple[float, int, int]:
+def seed_hits(rows: DataFrame, wanted: Wanted) -> DataFrame:
+    """doc_id, doc_key, gram and at (the word it begins at) for all places of seeds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
+        for b in batches:
+            words, starts = joined(b.column(2).to_pylist(), known)
+            for grams, found in matches(words, wanted):
+                at = np.flatnonzero(found)
+                if len(at):
+                    doc = np.searchsorted(starts, at, "right") - 1
+                    yield pa.RecordBatch.from_arrays([
+                        b.column(0).take(pa.array(doc)), b.column(1).take(pa.array(doc)),
+                        pa.array(grams[at].view(np.int64)), pa.array(at - starts[doc]),
+                    ], schema=HITS)
+
+    return map_texts(rows, run, "doc_id long, doc_key long, gram long, at long")
+
+
+def margin_of(words: int) -> int:
+    return max(MARGIN, words // 4)
+
+
+def passages(places: list[tuple[int, int, int]], words: int, score: float = SCORE) -> Iterator[tuple[int, int]]:
+    """Ranges of words around seeds on nearby diagonals, no longer than an alignment needs.
+
+    places: diagonal, place in the item and length of each seed. A range of more than two alignments'
+    reach is cut into overlapping ones that together hold every alignment.
+    """
+    reach = margin_of(words)
+    step = max(words + MATCH * words // -GAP, words + 2 * reach)
+    group: list[tuple[int, int, int]] = []
+    for place in [*sorted(places), None]:
+        if group and (place is None or place[0] - group[-1][0] > reach):
+            covered = {p + k for _, p, n in group for k in range(n)}
+            if len(covered) >= min(2, -(-score * words // 1)):
+                begin, end = group[0][0] - reach, group[-1][0] + words + reach
+                for k in range(begin, max(end - step, begin + 1), step):
+                    yield max(k, 0), min(k + 2 * step, end)
+            group = []
+        if place is not None:
+            group.append(place)
+
+
+def spots(hits: DataFrame, seeds: DataFrame, score: float) -> DataFrame:
+    """doc_id, doc_key, item, begin and end (in words) of the passages to align."""
+    met = hits.join(seeds, "gram").groupBy("doc_id", "doc_key", "item", "words").agg(
+        F.collect_list(F.struct((F.col("at") - F.col("place")).alias("d"), "place", "n")).alias("places")
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for doc_id, key, item, words, places in zip(*(c.to_pylist() for c in b.columns)):
+                found = passages([(p["d"], p["place"], p["n"]) for p in places], words, score)
+                out += [(doc_id, key, item, begin, end) for begin, end in found]
+            yield batch(SPOTS, *(zip(*out) if out else [()] * 5))
+
+    return map_texts(met, run, "doc_id long, doc_key long, item long, begin long, end long")
+
+
+def align(item: list, words: list) -> tuple[float, int, int]:
     """Best local alignment: its share of the score of an exact copy, and the words it spans.
 
     One row of the table at a time; gaps along the row are a running maximum.
@@ -62,112 +263,66 @@ def align(item: list[str], words: list[str]) -> tuple[float, int, int]:
     return score / (MATCH * len(item)), end - length, end
 
 
-def gram_index(items: list[tuple[int, list[str]]]) -> tuple[dict[tuple, int], list[list[tuple[int, int]]]]:
-    """Number of each n-gram, and the items and places where it stands."""
-    numbers: dict[tuple, int] = {}
-    places: list[list[tuple[int, int]]] = []
-    for i, (_, words) in enumerate(items):
-        for k in range(len(words) - GRAM + 1):
-            n = numbers.setdefault(tuple(words[k:k + GRAM]), len(places))
-            if n == len(places):
-                places.append([])
-            places[n].append((i, k))
-    return numbers, places
-
-
-def seeded(words: list[str], numbers: dict, places: list, lengths: list[int]) -> Iterator[tuple[int, int, int]]:
-    """Item and the words' range for each stretch of a text with n-grams of an item."""
-    hits: dict[int, list[int]] = {}
-    for at, gram in enumerate(zip(*[words[k:] for k in range(GRAM)])):
-        if gram in numbers:
-            n = numbers[gram]
-            for item, k in places[n]:
-                hits.setdefault(item, []).append(at - k)
-    for item, found in hits.items():
-        reach, group, last = lengths[item] + 2 * MARGIN, [], None
-        for start in sorted(found):
-            if group and start - last > reach:
-                yield span(item, group, lengths[item], len(words))
-                group = []
-            group.append(start)
-            last = start
-        yield span(item, group, lengths[item], len(words))
-
-
-def span(item: int, group: list[int], length: int, n: int) -> tuple[int, int, int]:
-    return item, max(group[0] - MARGIN, 0), min(group[-1] + length + MARGIN, n)
-
-
-def candidates(docs: DataFrame, items: list[tuple[int, list[str]]], score: float, id_col: str, text_col: str) -> DataFrame:
-    """Every stretch of every document with an n-gram of an item, unless it has too few of the
-    item's words for the score. One scan, no shuffle."""
-    numbers, places = gram_index(items)
-    lengths = [len(w) for _, w in items]
-    vocabularies = [frozenset(w) for _, w in items]
+def words_of(text: str) -> list[str]:
+    return [w.lower() for w in WORD.findall(text)]
+
+
+def aligned(found: DataFrame, score: float) -> DataFrame:
+    """Alignments that reach the score; found: doc_id, doc_key, text and asked, items with their ranges of words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for doc_id, key, text in zip(*(c.to_pylist() for c in b.columns)):
-                words = words_of(text)
-                spots = None
-                for item, begin, end in seeded(words, numbers, places, lengths):
-                    own = vocabularies[item]
-                    if sum(w in own for w in words[begin:end]) < score * lengths[item] - 1e-9:
-                        continue
-                    spots = spots or [m.span() for m in WORD.finditer(text)]
-                    if len(spots) != len(words):  # lower-casing moved a boundary: keep the whole text
-                        out.append((doc_id, key, item, 0, text))
+            for doc_id, key, text, asked in zip(*(c.to_pylist() for c in b.columns)):
+                edges = [m.span() for m in WORD.finditer(text)]
+                words = [text[s:e].lower() for s, e in edges]
+                for a in asked:
+                    item, part = words_of(a["text"]), words[a["begin"]:a["end"]]
+                    own = set(item)
+                    if sum(w in own for w in part) < score * len(item) - 1e-9:
                         continue
-                    first, last = spots[begin][0], spots[end - 1][1]
-                    out.append((doc_id, key, item, first, text[first:last]))
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * 5, FOUND)], schema=FOUND)
+                    share, first, last = align(item, part)
+                    if share >= score and last > first:
+                        first, last = first + a["begin"], last + a["begin"]
+                        out.append((doc_id, key, a["item_id"], share, edges[first][0], edges[last - 1][1]))
+            yield batch(ALIGNED, *(zip(*out) if out else [()] * 6))
 
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("doc_key"), text.alias("text"))
-    return map_texts(rows, run, "doc_id long, doc_key long, item int, begin long, passage string")
+    return map_texts(found, run, "doc_id long, doc_key long, item_id long, score double, start long, end long")
+
+
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text: Column = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("doc_key"), text.alias("text"))
 
 
 def copies(docs: DataFrame, benchmark: DataFrame, score: float = SCORE, id_col: str = "doc_id", text_col: str = "text",
-           item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+           item_id_col: str = "item_id", item_text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
     """Documents and the test items that they hold a copy of, whole or edited.
 
     doc_id, doc_key (hash of the text), item_id, score (share of the alignment score of an exact copy,
     at least `score`), start and end (code points of the aligned passage), the best passage for each
-    pair. Words are runs of letters and digits in lower case. Items are looked for in blocks of ITEMS,
-    each with one pass over the documents. Null and empty texts hold nothing; null and empty items,
-    and those under LEAST_WORDS words, are in nothing. Repeated documents give equal rows once; repeated items one
-    row each. Null ids stay null. Without documents or items there are no rows.
+    pair, of equal ones the first. Words are runs of letters and digits in lower case. Null and empty
+    texts hold nothing; null and empty items, and those under least_words words, are in nothing.
+    Repeated documents give equal rows once; repeated items one row each, those with one id and text one. Null ids stay
+    null. Very long texts are looked through whole. Without documents or items there are no rows.
     """
-    rows = benchmark.select(
+    items = benchmark.select(
         F.col(item_id_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text")
-    ).where("text is not null")
-    blocks = F.ceil(F.lit(rows.count()) / ITEMS)
-    out = None
-    for k in range(max(1, rows.select(blocks).first()[0] if rows.take(1) else 1)):
-        part = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.greatest(blocks, F.lit(1))) == k).collect()
-        items = [(r.item_id, words) for r in part if len(words := words_of(r.text)) >= LEAST_WORDS]
-        aligned = best_passages(candidates(docs, items, score, id_col, text_col), items, score)
-        out = aligned if out is None else out.unionByName(aligned)
-    return out
-
-
-def best_passages(found: DataFrame, items: list[tuple[int, list[str]]], score: float) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for doc_id, key, item, begin, passage in zip(*(c.to_pylist() for c in b.columns)):
-                item_id, words = items[item]
-                share, first, last = align(words, words_of(passage))
-                if share >= score and last > first:
-                    spots = [m.span() for m in WORD.finditer(passage)]
-                    last = min(last, len(spots))
-                    out.append((doc_id, key, item_id, share, begin + spots[first][0], begin + spots[last - 1][1]))
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * 6, ALIGNED)], schema=ALIGNED)
-
-    hits = map_texts(found, run, "doc_id long, doc_key long, item_id long, score double, start long, end long")
+    ).where("text is not null").distinct()
+    items = stored(items.withColumn("item", F.monotonically_increasing_id()), "test-items")
+    rows = keyed(docs, id_col, text_col)
+    grams = stored(item_grams(items).where(F.col("words") >= least_words), "test-grams")
+    counts = background(rows, Wanted.of(grams.select("gram").distinct()))
+    seeds = stored(seeds_of(grams, counts, docs.count()), "seeds")
+    hits = seed_hits(rows, Wanted.of(seeds.select("gram").distinct()))
+    found = stored(spots(hits, seeds, score), "passages")
+    asked = found.join(items, "item").groupBy("doc_id", "doc_key").agg(
+        F.collect_list(F.struct("item_id", "text", "begin", "end")).alias("asked")
+    ).withColumnsRenamed({"doc_id": "_id", "doc_key": "_key"})
+    texts = rows.join(asked, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("doc_key") == F.col("_key")))
+    done = aligned(texts.select("doc_id", "doc_key", "text", "asked"), score)
     best = F.max(F.struct("score", (-F.col("start")).alias("s"), "end")).alias("best")
-    return hits.groupBy("doc_id", "doc_key", "item_id").agg(best).select(
+    return done.groupBy("doc_id", "doc_key", "item_id").agg(best).select(
         "doc_id", "doc_key", "item_id", F.col("best.score").alias("score"), (-F.col("best.s")).alias("start"),
         F.col("best.end").alias("end"),
     )
