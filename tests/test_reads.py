@@ -163,6 +163,56 @@ def test_no_cross_or_nested_loop_join(spark):
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
+def scans(df):
+    """Filters of the file scans of a plan that has run; a result that is used again is not entered."""
+
+    def under(node):
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            return under(node.executedPlan())
+        if kind.endswith("QueryStageExec"):
+            return under(node.plan())
+        if kind == "ReusedExchangeExec":
+            return []
+        if kind == "FileSourceScanExec":
+            return [node.partitionFilters().mkString(" ")]
+        children = node.children()
+        return [f for i in range(children.size()) for f in under(children.apply(i))]
+
+    df.collect()
+    return under(df._jdf.queryExecution().executedPlan())
+
+
+def test_question_tables_are_read_once_from_the_earliest_window_on(spark, tmp_path):
+    days = (-400, -3, 0)
+    tables.ROLLUP_TABLE.write(buckets(spark, [bucket_row(1440 * d, 10.0, 20.0) for d in days]), f"{tmp_path}/r")
+    tables.insert_anomalies(anomalies(spark, [anomaly(i, -1440 * d) for i, d in enumerate(days)]), f"{tmp_path}/a")
+    rolled = tables.ROLLUP_TABLE.read(spark, f"{tmp_path}/r")
+    found = tables.ANOMALY_TABLE.read(spark, f"{tmp_path}/a")
+    qs = asked(spark, [(1, "a", None, 96, START), (2, "b", "checkout", None, START)])
+    rows = questions.retrieve(qs, found, rolled, 60)
+    read = scans(rows)
+    assert len(read) == 2 and all("_date" in f and ">= to_date" in f.replace("cast", "to_date") for f in read), read
+    got = {r.question_id: (len(r.anomalies), r.service_stats[0].total_events) for r in rows.collect()}
+    assert got == {1: (2, 200), 2: (1, 100)}
+
+
+def test_buckets_far_apart_stay_two_rows(spark):
+    year = 365 * 1440
+    rolled = buckets(spark, [bucket_row(0, 1.0, 2.0), bucket_row(year, 3.0, 4.0)])
+    assert questions.bucket_chunks(rolled, 60).count() == 2
+    late = [(i, "q", s, h, START + timedelta(days=366)) for i, (s, h) in enumerate(
+        [("checkout", 24 * 366), ("checkout", 24 * 30), (None, 24 * 30), (None, 24 * 400), (None, 1)])]
+    got = {r.question_id: (r.total_events, r.avg_p95_latency_ms) for r in questions.question_stats(asked(spark, late), rolled, 60).collect()}
+    assert got == {0: (200, 2.0), 1: (100, 3.0), 2: (100, 3.0), 3: (200, 2.0)}
+
+
+@pytest.mark.parametrize("chunk", [1, 7, 100])
+def test_stats_for_any_chunk(spark, monkeypatch, chunk):
+    monkeypatch.setattr(questions, "CHUNK", chunk)
+    test_question_stats_equal_a_range_join(spark)
+
+
 def test_reads_of_stored_tables_prune_by_date(spark, tmp_path):
     tables.ROLLUP_TABLE.write(buckets(spark, [bucket_row(m, 10.0, 20.0) for m in (-3 * 1440, 0, 10)]), f"{tmp_path}/r")
     tables.insert_anomalies(anomalies(spark, [anomaly(i, m) for i, m in enumerate((1, 5000))]), f"{tmp_path}/a")

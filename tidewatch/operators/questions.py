@@ -7,11 +7,14 @@ the very column that orders the data, and that removes the range join:
 * the newest 50 anomalies since t are the ones among the newest 50 overall that
   are not older than t, so one short list per service (and one for all services)
   serves every question;
-* totals since t are suffix totals, so they are computed once per bucket and
-  looked up by equality on the bucket number.
+* totals since t are suffix totals of two levels: of the buckets from t on in t's
+  own time chunk, and of all later chunks. A chunk has a bounded number of buckets,
+  a service has few chunks, and only chunks with buckets are stored rows.
 
 A question then joins one row per side. Questions that name no service share
-the NULL scope; that is a null-safe equality join, not a cross join.
+the NULL scope; that is a null-safe equality join, not a cross join. The earliest
+moment that any question asks for is a subquery that prunes both tables before
+they are read.
 """
 
 from __future__ import annotations
@@ -20,12 +23,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import ReadSettings
-from ..functions.times import bucket_index, first_index_from, lookback_hours, window_start
-from ..schemas import CONTEXT_ANOMALIES, CONTEXT_ANOMALY, CONTEXT_STATS, SERVICE_STATS
+from ..functions.times import (
+    bucket_index, first_index_from, lookback_hours, steps_down, window_start,
+)
+from ..schemas import CONTEXT_ANOMALIES, CONTEXT_ANOMALY, CONTEXT_STATS
+from .filters import on_or_after
 from .reads import TIES
 
 READS = ReadSettings()
 ASKED = ["question_id", "query", "service", "window_start", "window_end"]
+# Buckets that one time chunk spans.
+CHUNK = 1440
 
 
 def with_window(questions: DataFrame, default_hours: int = READS.lookback_hours) -> DataFrame:
@@ -41,45 +49,29 @@ def with_window(questions: DataFrame, default_hours: int = READS.lookback_hours)
 def newest_by_scope(anomalies: DataFrame, limit: int = READS.context_limit) -> DataFrame:
     """(scope, anomalies): the newest ``limit`` per service, and with a NULL
     scope the newest ``limit`` of all, as arrays in feed order."""
-    rows = anomalies.select(*CONTEXT_ANOMALY.fieldNames())
     order = [F.col("detected_at").desc(), *TIES]
-    w = Window.partitionBy("service").orderBy(*order)
-    per_service = (
-        rows.withColumn("_rank", F.row_number().over(w))
-        .filter(F.col("_rank") <= limit)
-        .withColumn("scope", F.col("service"))
-    )
+
+    def first(rows: DataFrame, scope: str) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy(scope).orderBy(*order))
+        return rows.withColumn("_rank", rank).filter(F.col("_rank") <= limit)
+
+    names = CONTEXT_ANOMALY.fieldNames()
     # The newest of all are among the newest of each service.
-    newest = per_service.drop("_rank").orderBy(*order).limit(limit)
-    overall = newest.select(
-        F.struct(*CONTEXT_ANOMALY.fieldNames()).alias("_a")
-    ).agg(F.collect_list("_a").alias("_list"))
-    ranked = F.struct("_rank", F.struct(*CONTEXT_ANOMALY.fieldNames()).alias("a"))
-    lists = per_service.groupBy("scope").agg(
-        F.sort_array(F.collect_list(ranked)).alias("_ranked")
-    )
-    return lists.select("scope", F.col("_ranked.a").alias("newest")).unionByName(
-        overall.select(
-            F.lit(None).cast("string").alias("scope"), _in_feed_order("_list").alias("newest")
-        )
+    scopes = F.explode(F.array("service", F.lit(None).cast("string")))
+    scoped = first(anomalies.select(*names), "service").withColumn("scope", scopes)
+    ranked = F.struct("_rank", F.struct(*names).alias("a"))
+    return first(scoped, "scope").groupBy("scope").agg(
+        F.sort_array(F.collect_list(ranked))["a"].alias("newest")
     )
 
 
-def _in_feed_order(name: str):
-    """Sorts an array of anomalies newest first, then by the tie columns."""
-    keyed = F.transform(
-        name,
-        lambda a: F.struct(
-            (-F.unix_micros(a["detected_at"])).alias("age"),
-            *[a[c].alias(f"k_{c}") for c in TIES],
-            a.alias("a"),
-        ),
-    )
-    return F.transform(F.sort_array(keyed), lambda k: k["a"])
+def _earliest(asked: DataFrame) -> Column:
+    """The first moment that any question asks for, known when the tables are read."""
+    return asked.agg(F.min("window_start")).scalar()
 
 
 def _attach_anomalies(asked: DataFrame, anomalies: DataFrame, limit: int) -> DataFrame:
-    lists = newest_by_scope(anomalies, limit)
+    lists = newest_by_scope(on_or_after(anomalies, "detected_at", _earliest(asked)), limit)
     joined = asked.join(lists, asked["service"].eqNullSafe(lists["scope"]), "left")
     recent = F.filter("newest", lambda a: a["detected_at"] >= F.col("window_start"))
     return joined.withColumn(
@@ -98,68 +90,87 @@ def question_anomalies(
     )
 
 
-def suffix_totals(buckets: DataFrame, width_s: int) -> DataFrame:
-    """Totals from each bucket to the end of its service's series.
-
-    ``lo`` to ``hi`` are the bucket numbers a window may start at to get this
-    row: after the service's previous bucket, up to this one. ``lo`` is NULL on
-    a service's first row.
-    """
-    newest = Window.partitionBy("service").orderBy(F.col("bucket").desc())
-    tail = newest.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    number = bucket_index(F.col("bucket"), width_s)
-    return buckets.select(
-        "service",
-        (F.lead(number).over(newest) + 1).alias("lo"),
-        number.alias("hi"),
-        F.sum("event_count").over(tail).alias("total_events"),
-        F.sum("error_count").over(tail).alias("total_errors"),
-        F.avg("p95_latency_ms").over(tail).alias("avg_p95_latency_ms"),
-        F.max("max_latency_ms").over(tail).alias("max_latency_ms"),
+def _totals(points: Column) -> Column:
+    """Totals of an array of buckets, or of totals, in its order."""
+    zero = F.struct(
+        F.lit(0).cast("long").alias("buckets"), F.lit(0).cast("long").alias("events"),
+        F.lit(0).cast("long").alias("errors"), F.lit(0.0).alias("p95_sum"),
+        F.lit(0).cast("long").alias("p95_count"), F.lit(None).cast("double").alias("peak"),
     )
+    sums = ["buckets", "events", "errors", "p95_sum", "p95_count"]
+    return F.aggregate(points, zero, lambda t, p: F.struct(
+        *[(t[n] + F.coalesce(p[n], F.lit(0))).alias(n) for n in sums],
+        F.greatest(t["peak"], p["peak"]).alias("peak"),
+    ))
 
 
-def _with_start(asked: DataFrame, buckets: DataFrame, width_s: int) -> DataFrame:
-    """Questions with ``start``, the number of the first bucket in their window;
-    windows that begin before all data begin at the first bucket."""
-    start = first_index_from(F.col("window_start"), width_s)
-    return asked.withColumn("start", F.greatest(start, _first_number(buckets, width_s)))
+def bucket_chunks(buckets: DataFrame, width_s: int) -> DataFrame:
+    """(service, chunk, points): the buckets of each time chunk that has any, in order."""
+    number = bucket_index(F.col("bucket"), width_s)
+    p95 = F.col("p95_latency_ms")
+    point = F.struct(
+        number.alias("number"), F.lit(1).cast("long").alias("buckets"),
+        F.col("event_count").alias("events"), F.col("error_count").alias("errors"),
+        p95.alias("p95_sum"), p95.isNotNull().cast("long").alias("p95_count"),
+        F.col("max_latency_ms").alias("peak"),
+    )
+    # Without nulls, no reader adds a filter of its own, and all of them share one scan.
+    chunk = F.coalesce(steps_down(number, CHUNK), F.lit(0).cast("long"))
+    return (
+        buckets.filter(F.col("service").isNotNull() & F.col("bucket").isNotNull())
+        .select("service", chunk.alias("chunk"), point.alias("point"))
+        .groupBy("service", "chunk").agg(F.sort_array(F.collect_list("point")).alias("points"))
+    )
 
 
-def _first_number(buckets: DataFrame, width_s: int) -> Column:
-    return buckets.agg(F.min(bucket_index(F.col("bucket"), width_s))).scalar()
+def _with_start(asked: DataFrame, width_s: int) -> DataFrame:
+    """Questions with ``start``, the number of the first bucket in their window."""
+    return asked.withColumn("start", first_index_from(F.col("window_start"), width_s))
 
 
 def stats_by_scope(asked: DataFrame, buckets: DataFrame, width_s: int) -> DataFrame:
     """(scope, start, stats) for the starts that questions need.
 
-    Suffix rows are spread over the bucket numbers they answer for, which gives
-    at most one row per service and bucket, and only asked numbers are kept.
+    Per service and start: totals from the start on within its chunk, plus the totals of the
+    later chunks. Questions without a service get the services that have a
+    bucket in a later chunk or in their own; a start and a service meet by the number of the chunk.
     """
-    first = _first_number(buckets, width_s)
-    dense = suffix_totals(buckets, width_s).withColumn(
-        "start", F.explode(F.sequence(F.coalesce("lo", first), "hi"))
+    chunks = bucket_chunks(buckets, width_s)
+    entry = F.struct("chunk", _totals(F.col("points")).alias("t"))
+    series = chunks.groupBy("service").agg(F.sort_array(F.collect_list(entry)).alias("series"))
+    wanted = asked.select("service", "start", steps_down(F.col("start"), CHUNK).alias("chunk"))
+    named = wanted.filter(F.col("service").isNotNull()).distinct()
+    anywhere = wanted.filter(F.col("service").isNull()).select("start", "chunk").distinct()
+    asked_chunks = anywhere.agg(F.collect_set("chunk")).scalar()
+    last = F.element_at("series", -1)["chunk"]
+    open_chunks = series.withColumn("chunk", F.explode(asked_chunks)).filter(F.col("chunk") <= last)
+    points = named.join(series, "service").withColumn("scope", F.col("service")).unionByName(
+        anywhere.join(open_chunks, "chunk").withColumn("scope", F.lit(None).cast("string"))
     )
-    one = F.struct(*[F.col(n).alias(n) for n in SERVICE_STATS.fieldNames()]).alias("stats")
-    named = asked.filter(F.col("service").isNotNull()).select("service", "start").distinct()
-    any_service = asked.filter(F.col("service").isNull()).select("start").distinct()
-    scoped = dense.join(named, ["service", "start"], "left_semi").select(
-        F.col("service").alias("scope"), "start", F.array(one).alias("stats")
+    later = F.filter("series", lambda e: e["chunk"] > F.col("chunk"))
+    after = _totals(F.transform(later, lambda e: e["t"]))
+    met = points.withColumn("after", after).drop("series").join(chunks, ["service", "chunk"], "left")
+    inside = _totals(F.filter("points", lambda p: p["number"] >= F.col("start")))
+    total = F.when(F.col("points").isNull(), F.col("after")).otherwise(
+        _totals(F.array(inside, F.col("after")))
     )
-    overall = (
-        dense.join(any_service, "start", "left_semi")
-        .groupBy("start")
-        .agg(F.sort_array(F.collect_list(one)).alias("stats"))
-        .select(F.lit(None).cast("string").alias("scope"), "start", "stats")
+    found = met.select("scope", "start", "service", total.alias("t")).filter("t.buckets > 0")
+    one = F.struct(
+        "service", F.col("t.events").alias("total_events"), F.col("t.errors").alias("total_errors"),
+        F.when(F.col("t.p95_count") > 0, F.col("t.p95_sum") / F.col("t.p95_count")).alias(
+            "avg_p95_latency_ms"),
+        F.col("t.peak").alias("max_latency_ms"),
     )
-    return scoped.unionByName(overall)
+    return found.groupBy("scope", "start").agg(F.sort_array(F.collect_list(one)).alias("stats"))
 
 
-def _attach_stats(asked: DataFrame, lists: DataFrame) -> DataFrame:
+def _attach_stats(asked: DataFrame, buckets: DataFrame, width_s: int) -> DataFrame:
+    started = _with_start(asked, width_s)
+    lists = stats_by_scope(started, on_or_after(buckets, "bucket", _earliest(asked)), width_s)
     lists = lists.withColumnRenamed("start", "_start")
-    same = asked["service"].eqNullSafe(lists["scope"]) & (asked["start"] == lists["_start"])
+    same = started["service"].eqNullSafe(lists["scope"]) & (started["start"] == lists["_start"])
     return (
-        asked.join(lists, same, "left")
+        started.join(lists, same, "left")
         .withColumn("service_stats", F.coalesce("stats", F.array().cast(CONTEXT_STATS)))
         .drop("scope", "_start", "start", "stats")
     )
@@ -167,8 +178,7 @@ def _attach_stats(asked: DataFrame, lists: DataFrame) -> DataFrame:
 
 def question_stats(questions: DataFrame, buckets: DataFrame, width_s: int) -> DataFrame:
     """One row per question and service with buckets in the question's window."""
-    asked = _with_start(with_window(questions), buckets, width_s)
-    found = _attach_stats(asked, stats_by_scope(asked, buckets, width_s))
+    found = _attach_stats(with_window(questions), buckets, width_s)
     return found.select("question_id", F.inline("service_stats"))
 
 
@@ -177,7 +187,5 @@ def retrieve(
     limit: int = READS.context_limit,
 ) -> DataFrame:
     """One row per question: its window, anomalies and service totals."""
-    asked = _with_start(with_window(questions), buckets, width_s)
-    stats = stats_by_scope(asked, buckets, width_s)
-    found = _attach_stats(_attach_anomalies(asked, anomalies, limit), stats)
+    found = _attach_stats(_attach_anomalies(with_window(questions), anomalies, limit), buckets, width_s)
     return found.select(*ASKED, "anomalies", "service_stats")

@@ -84,7 +84,7 @@ def stored_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rollup as a written table, for queries that read it several times."""
     path = shared_dir(spark, "rollup")
     tables.ROLLUP_TABLE.write(buckets(spark, sf_dir), path)
-    return tables.ROLLUP_TABLE.read(spark, path).drop("bucket_date")
+    return tables.ROLLUP_TABLE.read(spark, path)
 
 
 FOUND = ["metric_value", "baseline_mean", "baseline_stddev", "z_score"]
