@@ -12,6 +12,8 @@ from tidewatch import schemas
 from tidewatch.config import DetectSettings, RollupSettings
 from tidewatch.operators import decode, detect, rollup
 from tidewatch.sources import tables
+from tidewatch.plans import panels
+from tidewatch.streaming import counters
 from tidewatch.streaming import detect as stream_detect
 from tidewatch.streaming import ewma as stream_ewma
 from tidewatch.streaming import ingest
@@ -234,6 +236,75 @@ def test_late_bucket_is_judged_and_its_reading_counted(spark, tmp_path):
     assert [(r.late_readings, r.batch) for r in stream_ewma.late_readings(spark, state).collect()] == [(1, 2)]
 
 
+def test_late_buckets_withdraw_and_change_findings(spark, tmp_path):
+    rows, s = noisy(240, seed=5), DetectSettings()
+    # a bucket that looks like a spike until its loud neighbours arrive
+    rows = [r for r in rows if r[1] != "auth"] + [
+        bucket_row(m, 100.0 + m % 5 + (4000.0 if m in (20, 22, 24, 30) else 0.0), 200.0 + m % 7, service="auth") for m in range(60)]
+    late = [r for r in rows if r[0].minute % 4 == 0 and r[0] != START]
+    parts = [[r for r in rows if r not in late], late[: len(late) // 2], late[len(late) // 2:]]
+    table, found, state = (f"{tmp_path}/{x}" for x in ("rollup", "anomalies", "state"))
+    seen = []
+    for batch_id, part in enumerate(parts):
+        tables.ROLLUP_TABLE.write(buckets(spark, part), table)
+        for _ in range(2):  # a repeated batch changes nothing
+            stream_detect.detect_batch(buckets(spark, part), batch_id, table, found, state, s, START)
+            seen.append(tables.VERSION_TABLE.read(spark, tables.versions_path(found)).count())
+    assert seen[0] == seen[1] == 0 < seen[2] == seen[3] < seen[4] == seen[5]
+    versions = tables.VERSION_TABLE.read(spark, tables.versions_path(found))
+    assert {r.withdrawn for r in versions.collect()} == {True, False}
+    names = ["bucket_ts", "service", "anomaly_type", "severity"]
+    got = tables.current_anomalies(spark, found).filter(F.col("anomaly_type") != detect.ERROR_BURST)
+    want = detect.detect(buckets(spark, rows), s).filter(F.col("anomaly_type") != detect.ERROR_BURST)
+    shown = lambda df: {(*tuple(r)[:4], round(r.z_score, 9)) for r in df.select(*names, "z_score").collect()}
+    assert shown(got) == shown(want) and got.count() == want.count() > 3
+
+
+def test_lost_state_is_an_error(spark, tmp_path):
+    s, rows = DetectSettings(), [bucket_row(m, 1.0, 2.0) for m in range(4)]
+    tables.ROLLUP_TABLE.write(buckets(spark, rows), f"{tmp_path}/rollup")
+    with pytest.raises(RuntimeError, match="state before batch 3"):
+        stream_detect.detect_batch(buckets(spark, rows), 3, f"{tmp_path}/rollup", f"{tmp_path}/a", f"{tmp_path}/s", s)
+
+
+def test_old_states_go(spark, tmp_path):
+    readings = buckets(spark, [bucket_row(m, 1.0, 2.0) for m in range(6)]).selectExpr("service", "bucket", "0.1D rate")
+    for batch_id in range(4):
+        part = readings.filter(F.minute("bucket") == batch_id)
+        stream_ewma.baseline_batch(part, batch_id, f"{tmp_path}/s", f"{tmp_path}/o")
+    assert sorted(p.name for p in (tmp_path / "s").glob("before=*")) == ["before=3", "before=4"]
+
+
+def test_counters_become_a_panel(spark, tmp_path):
+    p, counted = Places(tmp_path), f"{tmp_path}/counters"
+    assert counters.samples(spark, counted).count() == 0
+    for k in range(3):
+        df = spark.createDataFrame([(message(10 * k + i),) for i in range(4)] + [("junk",)], "value string")
+        for _ in range(2):  # a repeated batch counts once
+            ingest.ingest_batch(df, k, p.events, p.quarantine, counted, START + timedelta(days=k // 2, seconds=15 * k))
+    samples = counters.samples(spark, counted)
+    written = samples.filter("metric = 'ingestion_events_written_total'")
+    assert [r.value for r in written.orderBy("ts").collect()] == [4.0, 8.0, 12.0]
+    consumed = samples.filter("metric = 'ingestion_events_consumed_total'").orderBy("ts").collect()
+    assert [(r.labels, r.value) for r in consumed] == [({"service": "checkout"}, v) for v in (4.0, 8.0, 12.0)]
+    panel = next(x for x in panels.PANELS if x.title == "events ingested")
+    assert panels.plot(samples, panel).filter("value > 0").count() > 0
+    sizes = next(x for x in panels.PANELS if (x.title, x.legend) == ("batch size", "p95"))
+    assert panels.plot(samples, sizes).filter("value between 1 and 10").count() > 0
+
+
+def test_failed_writes_are_counted(spark, tmp_path, monkeypatch):
+    def broken(*_):
+        raise RuntimeError("table is gone")
+
+    monkeypatch.setattr(ingest, "insert_events", broken)
+    df = spark.createDataFrame([(message(1),)], "value string")
+    for _ in range(2):
+        with pytest.raises(RuntimeError):
+            ingest.ingest_batch(df, 0, f"{tmp_path}/e", f"{tmp_path}/q", f"{tmp_path}/c")
+    assert counters.samples(spark, f"{tmp_path}/c").agg(F.sum("value")).first()[0] == 3.0  # one after the other: 1, then 2
+
+
 def test_watermarked_dedupe_drops_copies(spark, tmp_path):
     rows = [event(i % 50, START + timedelta(seconds=i % 50)) for i in range(150)]
     event_files(spark, f"{tmp_path}/in", [rows])

@@ -29,9 +29,14 @@ def _stat_line(s: Column) -> Column:
     )
 
 
+def shown_severity(severity: Column) -> Column:
+    """A severity as context lines spell it."""
+    return F.upper(severity)
+
+
 def _anomaly_line(a: Column) -> Column:
     return F.concat(
-        F.lit("- ["), F.upper(a["severity"]), F.lit("] "), a["service"], F.lit(" at "),
+        F.lit("- ["), shown_severity(a["severity"]), F.lit("] "), a["service"], F.lit(" at "),
         iso_format(a["bucket_ts"]), F.lit(": "), a["anomaly_type"],
         F.lit(", value="), fixed_point(a["metric_value"], 2),
         F.lit(", baseline="), fixed_point(a["baseline_mean"], 2),

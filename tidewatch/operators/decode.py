@@ -143,6 +143,12 @@ def classify(messages: DataFrame, as_of, value: str = "value",
     )
 
 
+def outcomes(classified: DataFrame) -> DataFrame:
+    """(outcome, messages): how many were accepted, and turned away for each reason."""
+    reason = F.coalesce("reject_reason", F.lit("accepted"))
+    return classified.groupBy(reason.alias("outcome")).agg(F.count("*").alias("messages"))
+
+
 def accepted(classified: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """The rows that may enter the fact table, ids in canonical form."""
     ids = {name: canonical_uuid(F.col(name)) for name in ("event_id", "trace_id")}

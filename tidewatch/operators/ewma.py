@@ -4,8 +4,9 @@ The baseline is a recursion, b' = alpha * x + (1 - alpha) * b, which no window
 function expresses. One step is an affine map, so a chunk of readings is one
 too: b_out = A * b_in + B. Each (service, chunk) is folded to its (A, B), the
 few chunks of a service are composed in order to give every chunk its incoming
-baseline, and the chunks are then folded again in parallel from there. Arrays
-hold at most one chunk of buckets, or one entry per chunk of a service.
+baseline, and the chunks are then folded again in parallel from there. Within a chunk the same is done with
+slices, so that a fold goes over a short array. Arrays hold at most one chunk of
+buckets, or one entry per chunk of a service.
 """
 
 from __future__ import annotations
@@ -16,6 +17,10 @@ from pyspark.sql import functions as F
 from ..functions.scoring import ewma_z
 
 
+# Points folded one after the other at most.
+SLICE = 64
+
+
 def _weights(alpha: float) -> tuple[Column, Column]:
     return F.lit(float(alpha)), F.lit(1.0 - float(alpha))
 
@@ -52,6 +57,35 @@ def _affine(points: Column, alpha: float) -> Column:
     )
 
 
+def _slices(points: Column) -> Column:
+    """An ordered array in pieces of SLICE points."""
+    last = F.call_function("div", F.size(points) - 1, F.lit(SLICE)).cast("int")
+    return F.transform(
+        F.sequence(F.lit(0), last), lambda k: F.slice(points, k * SLICE + 1, F.lit(SLICE))
+    )
+
+
+def _composed(maps: Column) -> Column:
+    """One affine map for an array of them, applied in order."""
+    return F.aggregate(
+        maps,
+        F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b")),
+        lambda acc, m: F.struct((m["a"] * acc["a"]).alias("a"), (m["a"] * acc["b"] + m["b"]).alias("b")),
+    )
+
+
+def _slice_starts(maps: Column, start: Column) -> Column:
+    """Baseline before each slice of a chunk."""
+    walked = F.aggregate(
+        maps,
+        F.struct(start.alias("b"), F.array().cast("array<double>").alias("seen")),
+        lambda acc, m: F.struct(
+            (m["a"] * acc["b"] + m["b"]).alias("b"), F.concat(acc["seen"], F.array(acc["b"])).alias("seen")
+        ),
+    )
+    return walked["seen"]
+
+
 def _incoming(chunks: DataFrame, state: DataFrame | None) -> DataFrame:
     """Baseline at the start of every (service, chunk).
 
@@ -95,7 +129,9 @@ def with_error_baseline(
     folded = (
         baselined.groupBy("service", "chunk")
         .agg(F.sort_array(F.collect_list(F.struct("bucket", reading, *carried))).alias("points"))
-        .withColumn("map", _affine(F.col("points"), alpha))
+        .withColumn("slices", _slices(F.col("points")))
+        .withColumn("maps", F.transform("slices", lambda points: _affine(points, alpha)))
+        .withColumn("map", _composed(F.col("maps")))
     )
     first = F.filter("points", lambda p: p["reading"])
     starts = _incoming(
@@ -104,8 +140,10 @@ def with_error_baseline(
         ),
         state,
     )
+    begun = _slice_starts(F.col("maps"), F.col("b_in"))
     judged = (
         folded.join(starts, ["service", "chunk"])
+        .select("service", "chunk", F.inline(F.arrays_zip(F.col("slices").alias("points"), begun.alias("b_in"))))
         .withColumn("seen", _fold(F.col("points"), F.col("b_in"), alpha))
         .select(
             "service", "chunk",

@@ -18,9 +18,14 @@ TIES = ["service", "anomaly_type", "bucket_ts"]
 DASH = "—"
 
 
+def in_series_order(buckets: DataFrame) -> DataFrame:
+    """Each service oldest first."""
+    return buckets.orderBy("service", "bucket")
+
+
 def recent_buckets(buckets: DataFrame, as_of, window_s: int) -> DataFrame:
     """Buckets of the detection window, each service oldest first."""
-    return since(buckets, "bucket", as_of, window_s).orderBy("service", "bucket")
+    return in_series_order(since(buckets, "bucket", as_of, window_s))
 
 
 def buckets_fetched(buckets: DataFrame, as_of, window_s: int) -> DataFrame:

@@ -41,6 +41,11 @@ def _counted_measures() -> list[Column]:
     ]
 
 
+def event_measures(events: DataFrame, keys: list[str]) -> DataFrame:
+    """Counts, errors, mean and maximum latency of plain event rows per group."""
+    return events.groupBy(*keys).agg(*_measures())
+
+
 def rollup(
     events: DataFrame,
     width_s: int = DEFAULTS.width_s,

@@ -313,6 +313,23 @@ ORACLES: dict[str, str] = {
         rejected AS set_aside FROM n""",
     "obs_ingest_counts": f"""WITH {MESSAGES} SELECT coalesce({OUTCOME}, 'accepted') AS outcome,
         count(*) AS messages FROM messages GROUP BY 1""",
+    "obs_pipeline_counts": f"""WITH RECURSIVE {ANOMALIES}, messages AS (
+          SELECT service, number % 3 AS batch, number % 8 AS form FROM log_events),
+        sizes AS (SELECT batch, count(*) FILTER (WHERE form IN (0, 3, 4, 7)) AS n FROM messages GROUP BY 1),
+        written AS (SELECT sum(n)::DOUBLE AS n, count(*)::DOUBLE AS batches FROM sizes)
+        SELECT 'ingestion_events_consumed_total' AS metric, 'service=' || service AS series, count(*)::DOUBLE AS value
+          FROM messages WHERE form NOT IN (1, 2) GROUP BY ALL
+        UNION ALL SELECT 'ingestion_events_written_total', '', n FROM written
+        UNION ALL SELECT 'ingestion_batch_size_sum', '', n FROM written
+        UNION ALL SELECT 'ingestion_batch_size_count', '', batches FROM written
+        UNION ALL SELECT 'ingestion_batch_flush_duration_seconds_count', '', batches FROM written
+        UNION ALL SELECT 'ingestion_batch_size_bucket', 'le=' || label, count(*) FILTER (WHERE n <= le)::DOUBLE
+          FROM sizes, (VALUES {LES}) AS bounds(le, label) GROUP BY ALL
+        UNION ALL SELECT 'anomaly_detection_cycles_total', '', 1
+        UNION ALL SELECT 'anomaly_buckets_fetched', '', (SELECT count(*) FROM rollup)::DOUBLE
+        UNION ALL SELECT 'anomaly_detected_total',
+          'anomaly_type=' || anomaly_type || ',service=' || service || ',severity=' || severity, count(*)::DOUBLE
+          FROM anomalies GROUP BY ALL""",
     "proj_decode_json": f"""WITH {MESSAGES} SELECT number, event_id,
         CASE WHEN form = 5 THEN replace({iso('ts')}, 'T', ' ') ELSE {iso('ts')} END AS timestamp,
         service, endpoint, CASE WHEN form = 4 THEN '' ELSE level END AS level, status_code, latency_ms,
@@ -469,13 +486,13 @@ ORACLES: dict[str, str] = {
     "st_rollup": f"""WITH {ROLLUP} SELECT * FROM rollup
         WHERE bucket + INTERVAL 1 HOUR <= (SELECT max(ts) FROM log_events)""",
     "st_detect": f"""WITH RECURSIVE {ANOMALIES} SELECT * REPLACE ({AS_OF} AS detected_at) FROM anomalies""",
-    "st_detect_late": f"""WITH {ROLLUP}, prompt AS (SELECT * FROM rollup WHERE hour(bucket) % 4 <> 3),
-        base AS ({baseline('prompt')} UNION ALL SELECT * FROM ({baseline('rollup')}) WHERE hour(bucket) % 4 = 3)
+    "st_detect_late": f"""WITH {BASE}
         SELECT * REPLACE ({ROUNDED}) FROM ({SPIKE} UNION ALL {OUTLIER})""",
     "st_ewma_state": f"""WITH RECURSIVE {EWMA} SELECT service, bucket, {r('rate')} AS rate, {r('ewma')} AS ewma
         FROM ewma""",
     "st_refresh_window": f"""WITH {ROLLUP} SELECT * REPLACE (CASE WHEN {REFRESHED} THEN error_count ELSE -1 END
         AS error_count) FROM rollup""",
+    "st_backfill": f"WITH {ROLLUP} SELECT * FROM rollup WHERE bucket BETWEEN '2023-12-31' AND '2024-02-01'",
     "st_late_data": f"""WITH {LOGS} SELECT time_bucket(INTERVAL '1 hour', ts) AS bucket, service,
         count(*) AS late_events, max(epoch_us(ingested_at) - epoch_us(ts)) / 1e6 AS max_delay_s FROM log_events
         WHERE ingested_at - ts > INTERVAL 10 MINUTES GROUP BY 1, 2""",

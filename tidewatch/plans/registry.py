@@ -18,6 +18,7 @@ from ..schemas import LOG_EVENTS
 from ..session import shared_dir
 from ..sources import kafka, samples, tables
 from ..sources.samples import AS_OF, SETTINGS, WIDTH_S
+from ..streaming import counters
 from ..streaming import detect as stream_detect
 from ..streaming import ewma as stream_ewma
 from ..streaming import ingest as stream_ingest
@@ -251,9 +252,29 @@ def src_kafka_logs(spark, sf_dir):
 @query
 def obs_ingest_counts(spark, sf_dir):
     """Messages read, accepted and turned away, by reason."""
-    rows = decode.classify(messages(spark, sf_dir), AS_OF)
-    reason = F.coalesce("reject_reason", F.lit("accepted"))
-    return rows.groupBy(reason.alias("outcome")).agg(F.count("*").alias("messages"))
+    return decode.outcomes(decode.classify(messages(spark, sf_dir), AS_OF))
+
+
+@query
+def obs_pipeline_counts(spark, sf_dir):
+    """Final values of all counters that do not depend on how fast the machine is, after three
+    batches of messages and one detection cycle."""
+    path = shared_dir(spark, "counted")
+    every = messages(spark, sf_dir)
+    for k in range(3):
+        stream_ingest.ingest_batch(
+            every.filter(F.col("number") % 3 == k).select("value"), k, f"{path}/events", f"{path}/quarantine",
+            f"{path}/counters",
+        )
+    rolled = buckets(spark, sf_dir)
+    tables.ROLLUP_TABLE.write(rolled, f"{path}/rollup")
+    stream_detect.detect_batch(
+        tables.ROLLUP_TABLE.read(spark, f"{path}/rollup"), 0, f"{path}/rollup", f"{path}/anomalies", f"{path}/state",
+        SETTINGS, AS_OF, counters_path=f"{path}/counters",
+    )
+    samples = panels.with_series(counters.samples(spark, f"{path}/counters"))
+    timed = F.col("metric").contains("_seconds_") & ~F.col("metric").endswith("_count")
+    return samples.filter(~timed).groupBy("metric", "series").agg(F.max("value").alias("value"))
 
 
 # ---- projections, filters, constraints -----------------------------------
@@ -468,12 +489,8 @@ def agg_percentile_cont(spark, sf_dir):
 
 @query
 def agg_avg_max_count(spark, sf_dir):
-    rows = logs(spark, sf_dir).groupBy("service").agg(
-        F.count("*").alias("event_count"),
-        F.avg("latency_ms").alias("avg_latency_ms"),
-        F.max("latency_ms").alias("max_latency_ms"),
-    )
-    return rounded(rows, "avg_latency_ms")
+    rows = rollup.event_measures(logs(spark, sf_dir), ["service"])
+    return rounded(rows.drop("error_count"), "avg_latency_ms")
 
 
 @query
@@ -618,8 +635,7 @@ def top_context_anomalies(spark, sf_dir):
 
 @query
 def sort_series(spark, sf_dir):
-    ordered = buckets(spark, sf_dir).orderBy("service", "bucket")
-    return ordered.select("service", "bucket", "event_count")
+    return reads.in_series_order(buckets(spark, sf_dir)).select("service", "bucket", "event_count")
 
 
 @query
@@ -794,7 +810,9 @@ def fn_iso_ts(spark, sf_dir):
 
 @query
 def fn_upper_severity(spark, sf_dir):
-    return anomalies(spark, sf_dir).select("id", F.upper("severity").alias("severity"))
+    return anomalies(spark, sf_dir).select(
+        "id", context.shown_severity(F.col("severity")).alias("severity")
+    )
 
 
 @query
@@ -948,7 +966,7 @@ def st_ewma_state(spark, sf_dir):
 
 @query
 def st_detect_late(spark, sf_dir):
-    """Latency findings when every fourth hour's buckets come one batch after all others."""
+    """Current latency findings when every fourth hour's buckets come one batch after all others."""
     path = shared_dir(spark, "late")
     tables.ROLLUP_TABLE.write(buckets(spark, sf_dir), f"{path}/all")
     rolled = tables.ROLLUP_TABLE.read(spark, f"{path}/all").drop("bucket_date")
@@ -959,7 +977,7 @@ def st_detect_late(spark, sf_dir):
             rolled.filter(part), batch_id, f"{path}/rollup", f"{path}/anomalies", f"{path}/state",
             SETTINGS, AS_OF,
         )
-    found = tables.ANOMALY_TABLE.read(spark, f"{path}/anomalies")
+    found = tables.current_anomalies(spark, f"{path}/anomalies")
     return _found(found.filter(F.col("anomaly_type") != detect.ERROR_BURST).select(*detect.FINDING))
 
 
@@ -974,6 +992,22 @@ def st_refresh_window(spark, sf_dir):
     return rounded(fresh, "avg_latency_ms", "p95_latency_ms")
 
 
+@query
+def st_backfill(spark, sf_dir):
+    """The rollup table after late rows were filled in: a first rollup of the events that came
+    within ten minutes, then all of them."""
+    path = shared_dir(spark, "backfilled")
+    delay = F.unix_seconds("ingested_at") - F.unix_seconds("ts")
+    events = logs(spark, sf_dir)
+    for part in (delay <= rollup.DEFAULTS.refresh_start_s, delay > rollup.DEFAULTS.refresh_start_s):
+        tables.EVENTS_TABLE.write(events.filter(part), f"{path}/events")
+        stream_rollup.backfill(
+            spark, f"{path}/events", f"{path}/rollup", "2023-12-31 00:30:00", "2024-02-01 00:10:00", HOURLY
+        )
+    stored = tables.ROLLUP_TABLE.read(spark, f"{path}/rollup").drop("bucket_date")
+    return rounded(stored, "avg_latency_ms", "p95_latency_ms")
+
+
 @query
 def st_late_data(spark, sf_dir):
     limit = rollup.DEFAULTS.refresh_start_s

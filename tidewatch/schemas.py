@@ -74,6 +74,11 @@ ANOMALIES = _struct(
     ("severity", StringType(), False),
 )
 
+# A later judgement of a finding: other values, or withdrawn.
+ANOMALY_VERSIONS = StructType([
+    *ANOMALIES.fields, StructField("version", LongType(), False), StructField("withdrawn", BooleanType(), False),
+])
+
 SERVICE_STATS = _struct(
     ("service", StringType()),
     ("total_events", LongType()),

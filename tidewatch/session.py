@@ -52,6 +52,12 @@ def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
             spark.conf.set(key, before)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a folder of the file system that the path names, if it is there."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder under the session's ``spark.checkpoint.dir``.
 

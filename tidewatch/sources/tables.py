@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..operators.keys import first_arrivals, without_known_keys
-from ..schemas import ANOMALIES, LOG_EVENT_KEY, LOG_EVENTS, ROLLUP, ROLLUP_KEY, with_partition
+from ..schemas import ANOMALIES, ANOMALY_VERSIONS, LOG_EVENT_KEY, LOG_EVENTS, ROLLUP, ROLLUP_KEY, with_partition
 
 # Partition dates listed one by one in a filter, each with its span of times;
 # with more of them the filter is the range from the first date to the last.
@@ -123,6 +123,30 @@ ANOMALY_TABLE = Table(
 )
 
 
+# The id of a finding has its bucket in it.
+VERSION_TABLE = Table(
+    ANOMALY_VERSIONS, "bucket_ts", "bucket_date", ["id", "version"], ["service", "bucket_ts"], not_before="bucket_ts",
+)
+
+
+def versions_path(anomalies_path: str) -> str:
+    return f"{anomalies_path.rstrip('/')}_versions"
+
+
+def latest(first: DataFrame, versions: DataFrame) -> DataFrame:
+    """Findings as they are judged now: of each id the last version, unless withdrawn."""
+    names = ANOMALIES.fieldNames()
+    start = first.select(*names, F.lit(-1).cast("long").alias("version"), F.lit(False).alias("withdrawn"))
+    every = start.unionByName(versions.select(*ANOMALY_VERSIONS.fieldNames()))
+    last = every.groupBy("id").agg(F.max_by(F.struct(*names, "withdrawn"), "version").alias("v"))
+    return last.filter(~F.col("v.withdrawn")).select("v.*").drop("withdrawn")
+
+
+def current_anomalies(spark: SparkSession, anomalies_path: str) -> DataFrame:
+    """The anomaly table with the findings that later buckets changed."""
+    return latest(ANOMALY_TABLE.read(spark, anomalies_path), VERSION_TABLE.read(spark, versions_path(anomalies_path)))
+
+
 def insert_events(events: DataFrame, path: str, arrival: list[str] | None = None) -> None:
     EVENTS_TABLE.insert_new(events, path, arrival or ["ingested_at"])
 

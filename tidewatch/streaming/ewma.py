@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..config import DetectSettings
 from ..functions.times import ORIGIN_S, steps_down
 from ..operators.ewma import final_state, with_error_baseline
+from ..session import remove
 
 DEFAULTS = DetectSettings()
 STATE = "service string, last_bucket timestamp, ewma double"
@@ -22,11 +23,15 @@ def state_place(state_path: str, batch_id: int) -> str:
 
 
 def read_state(spark: SparkSession, state_path: str, batch_id: int) -> DataFrame:
+    """The state before a batch. Only the first batch may find none; a lost folder is an
+    error, as every service would silently start anew."""
     try:
         return spark.read.schema(STATE).parquet(state_place(state_path, batch_id))
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
+        if batch_id:
+            raise RuntimeError(f"the state before batch {batch_id} is missing: {state_path}") from e
         return spark.createDataFrame([], STATE)
 
 
@@ -36,6 +41,8 @@ def write_state(state: DataFrame, after: DataFrame, state_path: str, batch_id: i
     untouched.unionByName(after).write.mode("overwrite").parquet(
         state_place(state_path, batch_id + 1)
     )
+    # This batch may be repeated and needs its own state; the one before it is done with.
+    remove(state.sparkSession, state_place(state_path, batch_id - 1))
 
 
 def with_lateness(buckets: DataFrame, state: DataFrame) -> DataFrame:
