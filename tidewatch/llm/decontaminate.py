@@ -220,8 +220,11 @@ def passages(places: list[tuple[int, int, int]], words: int, score: float = SCOR
 def spots(hits: DataFrame, seeds: DataFrame, score: float) -> DataFrame:
     """doc_id, doc_key, item, begin and end (in words) of the passages to align."""
     met = hits.join(seeds, "gram").groupBy("doc_id", "doc_key", "item", "words").agg(
-        F.collect_list(F.struct((F.col("at") - F.col("place")).alias("d"), "place", "n")).alias("places")
+        F.collect_list(F.struct((F.col("at") - F.col("place")).alias("d"), "place", "n")).alias("places"),
+        F.sum("n").alias("seeded"),
     )
+    # seeds of fewer words in all can't cover what a passage needs
+    met = met.where(F.col("seeded") >= F.least(F.lit(2), F.ceil(F.lit(score) * F.col("words")))).drop("seeded")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
