@@ -255,6 +255,15 @@ def test_embeddings_equal_brute_force(spark, monkeypatch):
     assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<double>, label int")).count() == 0
 
 
+def test_repeated_vector_ids(spark):
+    a, b, near_a, near_b = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [1.0, 0.01, 0.0], [0.0, 1.0, 0.01]
+    rows = [(5, a, 0), (9, near_a, 0), (5, b, 1), (7, near_b, 1), (4, near_b, 1), (8, a, 1), (8, a, 1)]
+    given = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumn("node", F.lit(1))
+    got = sorted(tuple(r) for r in embeddings.near_duplicates(given).collect())
+    # 5 is two vectors with links of their own; those of label 1 are in the component of 4
+    assert got == [(4, 2, 4, True), (5, 1, 5, True), (5, 2, 4, False), (7, 2, 4, False), (8, 1, 8, True), (8, 1, 8, True), (9, 1, 5, False)]
+
+
 def test_trees_learn_and_flatten():
     rng = np.random.default_rng(8)
     x = rng.normal(size=(2000, len(quality.FEATURES)))

@@ -195,7 +195,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     """One row per vector: vec_id, n_links, component_id, kept.
 
     Vectors of one label and length are linked from cosine `threshold` on, in double precision.
-    Equal vectors are compared as one that counts for all. Vectors that are null, empty, zero or
+    Equal vectors of a label are compared as one, with a number of its own, that counts for all. Vectors that are null, empty, zero or
     hold null or non-finite components, and rows without label or id, are linked with nothing
     and stand alone (component_id is their own id). Repeated ids are vectors of their own. No rows give
     no rows. Other columns are not looked at.
@@ -211,15 +211,17 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
     )
     rows = stored(rows.withColumn("v", F.when(F.coalesce(fine, F.lit(False)), F.col("v"))), "embeddings")
     distinct = stored(
-        rows.where("v is not null").groupBy("label", "v").agg(F.min("vec_id").alias("node"), F.count("*").alias("w"))
-        .withColumn("d", F.size("v")), "embedding-distinct",
+        rows.where("v is not null").groupBy("label", "v").agg(F.min("vec_id").alias("least"), F.count("*").alias("w"))
+        .withColumns({"node": F.monotonically_increasing_id(), "d": F.size("v")}), "embedding-distinct",
     )
     found = links(distinct, threshold)
     counted = found.where("other is null").groupBy("node").agg(F.sum("links").alias("links"))
     classes = components(found.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
+    heads = classes.join(distinct.select("node", "least"), "node").groupBy("component").agg(F.min("least").alias("head"))
+    classes = classes.join(heads, "component").select("node", "head")
     judged = distinct.join(counted, "node", "left").join(classes, "node", "left").select(
         "label", "v", (F.col("w") - 1 + F.coalesce("links", F.lit(0))).alias("n"),
-        F.coalesce("component", "node").alias("c"),
+        F.coalesce("head", "least").alias("c"),
     )
     return rows.join(judged, ["label", "v"], "left").select(
         "vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("c", "vec_id").alias("component_id"),
