@@ -172,7 +172,14 @@ def test_shared_folder_needs_a_setting_on_a_cluster():
     for master in ("yarn", "local-cluster[2,1,1024]", "spark://host:7077"):
         with pytest.raises(ValueError):
             shared_dir(fake(master), "x")
-    assert shared_dir(fake("local[2]"), "x")
+    assert shared_dir(fake("local[2]"), "x").startswith("file:/")
+
+
+def test_shared_folder_names_its_file_system(spark):
+    from tidewatch.session import qualified, shared_dir
+
+    assert shared_dir(spark, "x").startswith("file:/")
+    assert qualified(spark, "file:///a/b") == "file:/a/b" and qualified(spark, "/a/b") == "file:/a/b"
 
 
 def bucket_files(spark, path, rows, cuts):

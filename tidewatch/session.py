@@ -58,8 +58,16 @@ def remove(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path with the scheme and host of its file system; one without goes to the default one."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.makeQualified(place).toString()
+
+
 def shared_dir(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder under the session's ``spark.checkpoint.dir``.
+    """A fresh folder under the session's ``spark.checkpoint.dir``, with the scheme of its file system,
+    so that tasks that open files there themselves see the place that Spark sees.
 
     Only a local session without that setting (tests) falls back to a
     temporary folder; a cluster must name one that every executor can reach.
@@ -69,5 +77,5 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
         master = spark.sparkContext.master
         if master != "local" and not master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="tidewatch-")
-    return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+        return f"file:{tempfile.mkdtemp(prefix='tidewatch-')}/{purpose}-{uuid.uuid4().hex}"
+    return qualified(spark, f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}")
