@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import random
 from datetime import timedelta
 
 import pytest
@@ -16,6 +17,7 @@ from tidewatch.plans import panels
 from tidewatch.streaming import counters
 from tidewatch.streaming import detect as stream_detect
 from tidewatch.streaming import ewma as stream_ewma
+from tidewatch.streaming import refold
 from tidewatch.streaming import ingest
 from tidewatch.streaming import rollup as stream_rollup
 
@@ -220,12 +222,35 @@ def test_state_baseline_equals_batch_over_restarts(spark, tmp_path):
         stream_ewma.start_error_baselines(
             stream, f"{tmp_path}/state", f"{tmp_path}/out", f"{tmp_path}/cp", s, available_now=True,
         ).awaitTermination()
-    got = spark.read.parquet(f"{tmp_path}/out").select(*stream_ewma.OUTPUT)
+    got = spark.read.parquet(f"{tmp_path}/out").select(*refold.OUTPUT)
     both = got.select("service", "bucket", F.col("ewma").alias("g")).join(scored, ["service", "bucket"])
     assert got.count() == both.count() == scored.count()
     assert both.agg(F.max(F.abs(F.col("g") - F.col("ewma")))).first()[0] < 1e-9
 
 
+def test_late_readings_move_baselines(spark, tmp_path):
+    rng, s = random.Random(20), DetectSettings(chunk_buckets=20, window_s=600)
+    rows = [(n, START + timedelta(minutes=m), rng.random()) for n in ("auth", "cart", "web") for m in range(150) if rng.random() < 0.7]
+    parts = [[] for _ in range(4)]
+    for r in rows:  # web's oldest readings, and many others, come last
+        parts[3 if r[0] == "web" and r[1] < START + timedelta(minutes=45) else rng.choice([0, 0, 0, 1, 2])].append(r)
+    again = parts[0][:5] + parts[1][:1]
+    state, out = f"{tmp_path}/s", f"{tmp_path}/o"
+    for batch_id, part in enumerate([*parts, again, []]):
+        df = spark.createDataFrame(part, "service string, bucket timestamp, rate double")
+        for _ in range(2 if batch_id % 2 else 1):  # a repeated batch changes nothing
+            stream_ewma.baseline_batch(df, batch_id, state, out, s)
+    want, b = {}, {}
+    for n, t, x in sorted(rows):
+        want[n, t.replace(tzinfo=None)] = b.get(n, x)
+        b[n] = s.ewma_alpha * x + (1 - s.ewma_alpha) * b.get(n, x)
+    got = {(r.service, r.bucket): r.ewma for r in refold.current_baselines(spark, out).collect()}
+    assert got == pytest.approx(want, abs=1e-9) and len(got) == len(rows)
+    assert refold.repeats(spark, state).agg(F.sum("repeats")).first()[0] == 6
+    # readings sent again, and a batch without any, write no version
+    assert spark.read.schema(refold.VERSIONS).parquet(out).filter("batch >= 4").count() == 0
+
+
 def test_late_bucket_is_judged_and_its_reading_counted(spark, tmp_path):
     s = DetectSettings()
     rows = [bucket_row(m, 5000.0 if m == 30 else 100.0 + m % 5, 200.0 + m % 7) for m in range(40)]

@@ -124,26 +124,35 @@ def with_error_baseline(
     (service, ewma) to go on from.
     """
     columns = baselined.columns
-    carried = [c for c in columns if c not in ("bucket", "service", "chunk")]
+    folded = chunked(baselined, alpha)
+    starts = _incoming(folded.select("service", "chunk", "a", "b", "first"), state)
+    return folded_from(folded.join(starts, ["service", "chunk"]), alpha).select(*columns, "ewma").withColumn(
+        "ewma_z", ewma_z(F.col("rate"), F.col("ewma"))
+    )
+
+
+def chunked(baselined: DataFrame, alpha: float) -> DataFrame:
+    """Each (service, chunk) with its points in slices, their maps, its own map (a, b) and its first reading."""
+    carried = [c for c in baselined.columns if c not in ("bucket", "service", "chunk")]
     reading = (F.col("eligible") & F.col("rate").isNotNull()).alias("reading")
+    points = F.sort_array(F.collect_list(F.struct("bucket", reading, *carried)))
     folded = (
-        baselined.groupBy("service", "chunk")
-        .agg(F.sort_array(F.collect_list(F.struct("bucket", reading, *carried))).alias("points"))
+        baselined.groupBy("service", "chunk").agg(points.alias("points"))
         .withColumn("slices", _slices(F.col("points")))
         .withColumn("maps", F.transform("slices", lambda points: _affine(points, alpha)))
         .withColumn("map", _composed(F.col("maps")))
     )
     first = F.filter("points", lambda p: p["reading"])
-    starts = _incoming(
-        folded.select(
-            "service", "chunk", "map.a", "map.b", F.get(first["rate"], F.lit(0)).alias("first")
-        ),
-        state,
+    return folded.select(
+        "service", "chunk", "slices", "maps", "map.a", "map.b", F.get(first["rate"], F.lit(0)).alias("first")
     )
+
+
+def folded_from(chunks: DataFrame, alpha: float) -> DataFrame:
+    """The points of ``chunked`` rows with ``ewma``, from the baseline ``b_in`` before each."""
     begun = _slice_starts(F.col("maps"), F.col("b_in"))
-    judged = (
-        folded.join(starts, ["service", "chunk"])
-        .select("service", "chunk", F.inline(F.arrays_zip(F.col("slices").alias("points"), begun.alias("b_in"))))
+    return (
+        chunks.select("service", "chunk", F.inline(F.arrays_zip(F.col("slices").alias("points"), begun.alias("b_in"))))
         .withColumn("seen", _fold(F.col("points"), F.col("b_in"), alpha))
         .select(
             "service", "chunk",
@@ -151,9 +160,11 @@ def with_error_baseline(
         )
         .select("service", "chunk", "p.*", "ewma")
     )
-    return judged.select(*columns, "ewma").withColumn(
-        "ewma_z", ewma_z(F.col("rate"), F.col("ewma"))
-    )
+
+
+def incoming(maps: DataFrame) -> DataFrame:
+    """Baseline at the start of every (service, chunk) of a table of chunk maps (a, b, first)."""
+    return _incoming(maps.select("service", "chunk", "a", "b", "first"), None)
 
 
 def final_state(scored: DataFrame, alpha: float) -> DataFrame:

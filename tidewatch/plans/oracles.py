@@ -490,6 +490,8 @@ ORACLES: dict[str, str] = {
         SELECT * REPLACE ({ROUNDED}) FROM ({SPIKE} UNION ALL {OUTLIER})""",
     "st_ewma_state": f"""WITH RECURSIVE {EWMA} SELECT service, bucket, {r('rate')} AS rate, {r('ewma')} AS ewma
         FROM ewma""",
+    "st_ewma_late": f"""WITH RECURSIVE {EWMA} SELECT service, bucket, {r('rate')} AS rate, {r('ewma')} AS ewma
+        FROM ewma""",
     "st_refresh_window": f"""WITH {ROLLUP} SELECT * REPLACE (CASE WHEN {REFRESHED} THEN error_count ELSE -1 END
         AS error_count) FROM rollup""",
     "st_backfill": f"WITH {ROLLUP} SELECT * FROM rollup WHERE bucket BETWEEN '2023-12-31' AND '2024-02-01'",

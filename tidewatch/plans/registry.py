@@ -21,6 +21,7 @@ from ..sources.samples import AS_OF, SETTINGS, WIDTH_S
 from ..streaming import counters
 from ..streaming import detect as stream_detect
 from ..streaming import ewma as stream_ewma
+from ..streaming import refold
 from ..streaming import ingest as stream_ingest
 from ..streaming import rollup as stream_rollup
 from . import panels
@@ -961,7 +962,20 @@ def st_ewma_state(spark, sf_dir):
     stream_ewma.start_error_baselines(
         stream, f"{path}/state", f"{path}/out", f"{path}/checkpoint", SETTINGS, available_now=True
     ).awaitTermination()
-    return rounded(spark.read.parquet(f"{path}/out").select(*stream_ewma.OUTPUT), "rate", "ewma")
+    return rounded(spark.read.parquet(f"{path}/out").select(*refold.OUTPUT), "rate", "ewma")
+
+
+@query
+def st_ewma_late(spark, sf_dir):
+    """Baselines over every reading when every fourth hour's come one batch after all others."""
+    path = shared_dir(spark, "refolded")
+    readings = baseline.trailing_baseline(buckets(spark, sf_dir), SETTINGS).filter("eligible and rate is not null")
+    readings.select("service", "bucket", "rate").write.parquet(f"{path}/readings")
+    stored = spark.read.schema("service string, bucket timestamp, rate double").parquet(f"{path}/readings")
+    held = F.hour("bucket") % 4 == 3
+    for batch_id, part in enumerate((~held, held)):
+        stream_ewma.baseline_batch(stored.filter(part), batch_id, f"{path}/state", f"{path}/out", SETTINGS)
+    return rounded(refold.current_baselines(spark, f"{path}/out"), "rate", "ewma")
 
 
 @query

@@ -1,4 +1,4 @@
-"""Error-rate baseline per service, carried from batch to batch in a state table."""
+"""Error-rate baseline per service over a stream, and the state table of the detector's."""
 
 from __future__ import annotations
 
@@ -8,13 +8,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..config import DetectSettings
-from ..functions.times import ORIGIN_S, steps_down
-from ..operators.ewma import final_state, with_error_baseline
 from ..session import remove
+from .refold import refold_batch
 
 DEFAULTS = DetectSettings()
 STATE = "service string, last_bucket timestamp, ewma double"
-OUTPUT = ["service", "bucket", "rate", "ewma"]
 LATE = "service string, late_readings bigint, batch int"
 
 
@@ -71,26 +69,10 @@ def baseline_batch(
 ) -> None:
     """Folds a batch of (service, bucket, rate) and writes the baseline each reading met.
 
-    Readings are folded in order of time; those that came too late for it are counted. The
-    state before the batch and its output have folders of their own, so a repeated batch
-    writes the same rows.
+    Readings may come in any order and late: ``refold_batch`` writes a new version of every
+    baseline that they move, and ``refold.current_baselines`` reads the last ones.
     """
-    state = read_state(readings.sparkSession, state_path, batch_id)
-    marked = with_lateness(readings.filter("rate is not null"), state).persist()
-    try:
-        secs = F.unix_seconds("bucket") - F.lit(ORIGIN_S)
-        fresh = marked.filter("not late").select(
-            "service", "bucket", "rate", F.lit(True).alias("eligible"),
-            steps_down(secs, settings.chunk_s).alias("chunk"),
-        )
-        scored = with_error_baseline(fresh, settings.ewma_alpha, state)
-        place = f"{out_path}/batch={batch_id}"
-        scored.select(*OUTPUT).write.mode("overwrite").parquet(place)
-        written = readings.sparkSession.read.schema(scored.select(*OUTPUT).schema).parquet(place)
-        write_state(state, final_state(written, settings.ewma_alpha), state_path, batch_id)
-        report_late(marked.filter("late"), state_path, batch_id)
-    finally:
-        marked.unpersist()
+    refold_batch(readings, batch_id, state_path, out_path, settings)
 
 
 def start_error_baselines(
