@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from test_detect import noisy
 
 from tidewatch import schemas
-from tidewatch.config import DetectSettings, RollupSettings
+from tidewatch.config import DetectSettings, IngestSettings, RollupSettings
 from tidewatch.operators import decode, detect, rollup
 from tidewatch.sources import tables
 from tidewatch.plans import panels
@@ -325,6 +325,19 @@ def test_counters_become_a_panel(spark, tmp_path):
     assert panels.plot(samples, sizes).filter("value between 1 and 10").count() > 0
 
 
+def test_back_pressure_follows_measured_flushes(spark, tmp_path):
+    path, s = f"{tmp_path}/c", IngestSettings(flush_target_s=10, paced_by=2)
+    assert counters.messages_per_trigger(spark, path, s) == s.max_per_trigger
+    batches = [(9_000, 1.0), (2_000, 4.0), (1_000, 2.0)]  # the first is too old to count
+    for k, (size, seconds) in enumerate(batches):
+        entries = [*counters.observed_once("ingestion_batch_size", size, [10]),
+                   *counters.observed_once("ingestion_batch_flush_duration_seconds", seconds, [1])]
+        counters.record(spark, path, "ingest", k, entries, when=START + timedelta(minutes=k))
+    assert counters.messages_per_trigger(spark, path, s) == 5_000
+    assert counters.messages_per_trigger(spark, path, IngestSettings(flush_target_s=10, paced_by=2, max_per_trigger=700)) == 700
+    assert counters.messages_per_trigger(spark, path, IngestSettings(flush_target_s=10, paced_by=2, batch_size=8_000)) == 8_000
+
+
 def test_failed_writes_are_counted(spark, tmp_path, monkeypatch):
     def broken(*_):
         raise RuntimeError("table is gone")

@@ -100,4 +100,6 @@ def test_kafka_reader_options():
     options = kafka.reader_options("broker:9092", max_per_trigger=1000)
     assert options["subscribe"] == "service-logs" and options["startingOffsets"] == "latest"
     assert options["minOffsetsPerTrigger"] == "100" and options["maxTriggerDelay"] == "500ms"
+    assert kafka.reader_options("broker:9092")["maxOffsetsPerTrigger"] == "1000000"
+    assert kafka.reader_options("broker:9092", max_per_trigger=5)["maxOffsetsPerTrigger"] == "100"
     assert options["maxOffsetsPerTrigger"] == "1000" and options["kafka.fetch.max.bytes"] == "10000000"

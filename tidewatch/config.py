@@ -15,6 +15,11 @@ class IngestSettings:
     batch_size: int = 100
     batch_interval_ms: int = 500
     max_fetch_bytes: int = 10_000_000
+    # Messages of a micro-batch at most, while nothing is measured yet and at any speed.
+    max_per_trigger: int = 1_000_000
+    # A micro-batch should be written in this time; the newest batches tell the speed.
+    flush_target_s: int = 30
+    paced_by: int = 20
 
 
 @dataclass(frozen=True)

@@ -26,7 +26,8 @@ def reader_options(
     """Options of the topic reader.
 
     A micro-batch starts when ``batch_size`` messages wait or ``batch_interval_ms``
-    have passed; ``max_per_trigger`` is the back-pressure limit.
+    have passed. ``max_per_trigger`` is the back-pressure limit, by default that of the
+    settings; ``counters.messages_per_trigger`` derives one from measured batches.
     """
     options = {
         "kafka.bootstrap.servers": brokers,
@@ -37,8 +38,8 @@ def reader_options(
         "minOffsetsPerTrigger": str(settings.batch_size),
         "maxTriggerDelay": f"{settings.batch_interval_ms}ms",
     }
-    if max_per_trigger:
-        options["maxOffsetsPerTrigger"] = str(max_per_trigger)
+    limit = max(max_per_trigger or settings.max_per_trigger, settings.batch_size)
+    options["maxOffsetsPerTrigger"] = str(limit)
     return options
 
 

@@ -12,6 +12,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..config import IngestSettings
 from ..plans.panels import SERIES, with_series
 from ..schemas import METRIC_SAMPLES
 
@@ -75,3 +76,28 @@ def samples(spark: SparkSession, path: str) -> DataFrame:
     days = days.select(*series, "_day", F.coalesce(F.sum("_sum").over(earlier), F.lit(0.0)).alias("_before"))
     total = F.when(F.col("gauge"), F.col("value")).otherwise(F.sum("value").over(within) + F.col("_before"))
     return keyed.join(days, [*series, "_day"]).withColumn("value", total).select(*METRIC_SAMPLES.fieldNames())
+
+
+def messages_per_trigger(spark: SparkSession, path: str, settings: IngestSettings = IngestSettings()) -> int:
+    """Messages that a micro-batch may have to be written in ``flush_target_s``.
+
+    The speed is events written per second of flushing over the newest ``paced_by`` batches. Small
+    batches look slow for their fixed costs, so the limit grows from one start to the next as long as
+    batches take less than the target. Without measurements it is ``max_per_trigger``, which it never passes,
+    and it is never below ``batch_size``.
+    """
+    try:
+        rows = spark.read.schema(RECORDS).parquet(f"{path}/source=ingest/*/*")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return settings.max_per_trigger
+    size, seconds = (F.col("metric") == f"ingestion_batch_{m}_sum" for m in ("size", "flush_duration_seconds"))
+    batches = rows.filter(size | seconds).groupBy("ts", "batch").agg(
+        F.sum(F.when(size, F.col("value"))).alias("size"), F.sum(F.when(seconds, F.col("value"))).alias("seconds")
+    )
+    seen = batches.orderBy(F.desc("ts"), F.desc("batch")).limit(settings.paced_by).agg(
+        F.sum("size").alias("size"), F.sum("seconds").alias("seconds")).first()
+    if not seen.seconds:
+        return settings.max_per_trigger
+    return int(min(max(seen.size / seen.seconds * settings.flush_target_s, settings.batch_size), settings.max_per_trigger))
