@@ -397,3 +397,43 @@ def test_equal_short_lines(spark):
     found = {(r.doc_id, r.line_no): r.class_doc_id for r in line_dedup.classes(docs).collect()}
     assert found == {(1, 0): 1, (1, 1): 1, (1, 4): 1, (2, 0): 1, (2, 1): 1, (2, 2): 1, (3, 0): 3}
     assert {r.doc_id for r in line_dedup.without_repeats(docs, exact_chars=1).collect()} == {1, 3}
+
+
+def test_lines_of_one_template_equal_brute_force(spark):
+    """Lines that share bands with a hub that most of them are not near."""
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choices("abcdefghijklmnop", k=7))
+    head, tail = " ".join(word() for _ in range(12)), " ".join(word() for _ in range(8))
+    lines = []
+    for k in range(60):
+        own = [word() for _ in range(rnd.choice([3, 6, 10]))]
+        for _ in range(rnd.choice([1, 1, 3])):
+            lines.append(f"{head} {' '.join([*own[:-1], word()] if len(own) > 3 else own)} {tail}")
+    lines += [head, head + " and", tail, lines[0][20:], lines[5][:90]]
+    lines = sorted(set(lines))
+
+    def grams(text):
+        return {text[i:i + 8] for i in range(max(1, len(text) - 7))}
+
+    sets = [grams(x) for x in lines]
+    near = {(i, j) for i in range(len(lines)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    hub = lines.index(max(lines, key=len))
+    first = spark.createDataFrame(
+        [(i, hub, lines[i].encode(), lines[hub].encode(), (max(i, hub), min(i, hub)) in near) for i in range(len(lines)) if i != hub],
+        "a long, b long, key_a binary, key_b binary, near boolean",
+    )
+    texts = spark.createDataFrame([(i, x.encode(), x) for i, x in enumerate(lines)], "id long, key binary, line string")
+    none = spark.createDataFrame([], "key binary, component binary")
+    found = {tuple(sorted((r.a, r.b), reverse=True)) for r in line_dedup.crossing(first, texts, none, 0.8).collect()}
+    assert {p for p in near if hub not in p} <= found
+    assert len(found) < len(lines) * (len(lines) - 1) / 8 and len(near) > 20
+    # links that are known already are not looked for again
+    one = spark.createDataFrame([(x.encode(), b"x") for x in lines], "key binary, component binary")
+    assert line_dedup.crossing(first, texts, one, 0.8).count() == 0
+    classes = line_dedup.classes(documents(spark, list(enumerate(lines))))
+    got = {r.doc_id: r.class_doc_id for r in classes.collect()}
+    parent = list(range(len(lines)))
+    for _ in lines:
+        for i, j in near:
+            parent[i] = parent[j] = min(parent[i], parent[j])
+    assert sum(got[i] != parent[i] for i in range(len(lines))) <= 0.05 * len(lines)

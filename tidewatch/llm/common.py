@@ -21,9 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def stored(df: DataFrame, purpose: str) -> DataFrame:
     """Writes rows to the shared folder and reads them back: a cut in the lineage that
     outlives lost executors."""
+    return stored_at(df, purpose)[0]
+
+
+def stored_at(df: DataFrame, purpose: str) -> tuple[DataFrame, str]:
+    """stored(), and where the rows are, for session.remove()."""
     path = shared_dir(df.sparkSession, purpose)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
 def map_texts(df: DataFrame, batches: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],

@@ -1,7 +1,8 @@
 """Distributed union-find: connected components by alternating stars.
 
 Only DataFrame operations. Each round writes its edges to the shared folder, so plans stay
-short and a lost executor costs one round at most.
+short and a lost executor costs one round at most. The edges of a round are removed when those of
+the next are written.
 """
 
 from __future__ import annotations
@@ -9,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from ..session import remove
+from .common import stored_at
 
 
 def _lower(edges: DataFrame, both: bool) -> DataFrame:
@@ -41,7 +43,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     reachable. No edges give no rows. Raises if it has not settled after max_rounds.
     """
     a, b = F.col("a"), F.col("b")
-    current = stored(
+    current, path = stored_at(
         edges.where("a <> b").select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct(), "edges"
     )
     before = None
@@ -54,7 +56,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if row == before or not row.n:
             break
         before = row
-        current = stored(_lower(_lower(current, True), False), "edges")
+        old = path
+        current, path = stored_at(_lower(_lower(current, True), False), "edges")
+        remove(edges.sparkSession, old)
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = current.select(F.col("b").alias("node")).distinct().withColumn("component", F.col("node"))
