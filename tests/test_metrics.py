@@ -126,3 +126,33 @@ def test_every_panel_draws(spark):
         if panel.by:
             assert steady[0].severity == "critical"
     assert len(panels.PANELS) == 12 and len({p.title for p in panels.PANELS}) == 9
+
+
+def test_all_panels_in_one_pass(spark, tmp_path):
+    rnd = random.Random(3)
+    rows = []
+    for metric in {p.metric for p in panels.PANELS} | {"other_total"}:
+        for service in ("s", "t"):
+            for severity in ("low", "high"):
+                for le in ("1", "5", "+Inf") if metric.endswith("_bucket") else (None,):
+                    labels = {"service": service, "severity": severity, **({"le": le} if le else {})}
+                    value = 0.0
+                    for k in range(40):
+                        value = 0.0 if rnd.random() < 0.05 else value + rnd.randrange(5)
+                        rows.append(("app_" + metric, labels, START + timedelta(seconds=15 * k + rnd.randrange(9)), value))
+    spark.createDataFrame(rows, "metric string, labels map<string,string>, ts timestamp, value double").write.parquet(
+        str(tmp_path / "samples"))
+    df = spark.read.parquet(str(tmp_path / "samples"))
+    drawn = panels.plot_all(df, prefix="app_")
+    assert drawn._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 1
+    found = {(r.title, r.legend, r.series, r.ts): r.value for r in drawn.collect()}
+    wanted = {}
+    for panel in panels.PANELS:
+        for r in panels.plot(df, panel, prefix="app_").collect():
+            kept = r.series if panel.shape == "rate" else ",".join(f"{name}={r[name]}" for name in panel.by)
+            wanted[panel.title, panel.legend, kept, r.ts] = r.value
+    assert found.keys() == wanted.keys() and len(found) > 300
+    for key, value in wanted.items():
+        assert found[key] == pytest.approx(value, nan_ok=True), key
+    assert panels.plot_all(df.limit(0)).count() == 0
+

@@ -57,7 +57,7 @@ def le_bound(label: Column) -> Column:
 
 
 def histogram_quantile(
-    buckets: DataFrame, by: list[str], phi: float, le: str = "le",
+    buckets: DataFrame, by: list[str], phi: float | Column, le: str = "le",
     count: str = "cumulative_count", out: str = "quantile",
 ) -> DataFrame:
     """Quantile estimated from cumulative buckets, one row per ``by``.
@@ -65,7 +65,9 @@ def histogram_quantile(
     Linear inside the bucket holding the rank, from 0 below the first bound;
     the last finite bound when the rank is above it. NaN without observations,
     without a +Inf bucket or with a single bucket. A group has one row per bound.
+    ``phi`` may be a column made of ``by``; without a value for it there is no quantile.
     """
+    phi = phi if isinstance(phi, Column) else F.lit(float(phi))
     w = Window.partitionBy(*by).orderBy("_le")
     grown = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     whole = Window.partitionBy(*by)
@@ -84,7 +86,7 @@ def histogram_quantile(
         )
     )
     low = F.coalesce(F.col("_pl"), F.lit(0.0))
-    rank = F.lit(min(max(float(phi), 0.0), 1.0)) * F.col("_total")
+    rank = F.least(F.greatest(phi, F.lit(0.0)), F.lit(1.0)) * F.col("_total")
     inside = low + (F.col("_le") - low) * (rank - F.col("_pc")) / (F.col("_c") - F.col("_pc"))
     at = (
         F.when(F.col("_le") == inf, F.col("_pl"))
@@ -94,12 +96,7 @@ def histogram_quantile(
     )
     nan = F.lit(math.nan)
     defined = (F.col("_top") == inf) & (F.col("_bounds") >= 2) & (F.col("_total") > 0)
-    if phi < 0:
-        estimate = F.lit(-math.inf)
-    elif phi > 1:
-        estimate = F.lit(math.inf)
-    else:
-        estimate = at
+    estimate = F.when(phi < 0, F.lit(-math.inf)).when(phi > 1, F.lit(math.inf)).otherwise(at)
     return (
         steps.filter(F.col("_c") >= F.when(defined, rank).otherwise(F.col("_c")))
         .groupBy(*by)
@@ -174,9 +171,30 @@ def rate(
     """
     if window_s % step_s:
         raise ValueError("window_s must be a multiple of step_s")
-    slots = window_s // step_s
+    summaries = _summaries(samples, series, step_s)
+    return _over_windows(summaries, series, F.lit(window_s), step_s, extrapolate, out)
+
+
+def rates(
+    samples: DataFrame, series: list[str], windows: Column, step_s: int, out: str = "rate",
+) -> DataFrame:
+    """``rate`` over several window lengths at once, with the length as column ``window_s``.
+
+    ``windows`` is an array of lengths in seconds, made of the series columns, each a
+    multiple of the step. Samples are read and reduced to slot summaries once for all lengths.
+    """
+    summaries = _summaries(samples, series, step_s).withColumn("window_s", F.explode(windows))
+    return _over_windows(summaries, [*series, "window_s"], F.col("window_s"), step_s, True, out)
+
+
+def _over_windows(
+    summaries: DataFrame, series: list[str], window_s: Column, step_s: int, extrapolate: bool, out: str
+) -> DataFrame:
+    """Rates from slot summaries; ``window_s`` is made of the series columns."""
+    window_s = window_s.cast("long")
+    slots = F.floor(window_s / step_s).cast("long")
     on_edge = F.col("_t0") == (F.col("_slot") * step_s + F.lit(ORIGIN_S)) * MICROS
-    summaries = _summaries(samples, series, step_s).withColumn(
+    summaries = summaries.withColumn(
         "_end", F.explode(F.sequence(F.col("_slot") + 1 - on_edge.cast("int"), F.col("_slot") + slots))
     )
     # of the slot that starts where a window ends, that window has the first sample alone
@@ -193,17 +211,17 @@ def rate(
         increase = increase * _stretch(window_s, _slot_end(F.col("_end"), step_s))
     return windows.select(
         *series, _slot_end(F.col("_end"), step_s).alias("ts"),
-        (increase / float(window_s)).alias(out),
+        (increase / window_s.cast("double")).alias(out),
     )
 
 
-def _stretch(window_s: int, end: Column) -> Column:
+def _stretch(window_s: Column, end: Column) -> Column:
     """Factor that extends the sampled interval to the window's edges: fully
     when the gap is under 1.1 sample intervals, else by half an interval, and
     never to before the counter would have been zero."""
     sampled = (F.col("_t1") - F.col("_t0")) / MICROS
     end_us = F.unix_micros(end)
-    to_start = (F.col("_t0") - (end_us - F.lit(window_s * MICROS))) / MICROS
+    to_start = (F.col("_t0") - (end_us - window_s * MICROS)) / MICROS
     to_end = (end_us - F.col("_t1")) / MICROS
     interval = sampled / (F.col("_n") - 1)
     start_gap = F.when(to_start < interval * 1.1, to_start).otherwise(interval / 2)

@@ -515,3 +515,13 @@ ORACLES: dict[str, str] = {
           SELECT ts, le, sum(rate) AS rate FROM rates GROUP BY 1, 2)
         SELECT ts, {r('value')} AS value FROM ({quantile('summed', 'ts', 'rate', 0.95)})""",
 }
+ORACLES["ts_panels_all"] = " UNION ALL ".join(
+    f"SELECT '{title}' AS title, '{legend}' AS legend, {series} AS series, ts, value FROM ({sql})"
+    for title, legend, series, sql in (
+        ("events ingested", "events written/s", "''", ORACLES["ts_panels_sum"]),
+        ("questions", "questions/s", "series", ORACLES["ts_panels_rate"]),
+        ("anomalies detected", "by severity", "'severity=' || severity", ORACLES["ts_panels_sum_by"]),
+        ("batch size", "p95", "''", ORACLES["ts_panels_quantile"]),
+        ("batch size", "p50", "''", ORACLES["ts_panels_quantile"].replace("0.95", "0.5")),
+    )
+)

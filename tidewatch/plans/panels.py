@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import MINUTE
-from ..operators.metrics import rate, rate_quantile, sum_rates
+from ..operators.metrics import histogram_quantile, le_bound, rate, rate_quantile, rates, sum_rates
 
 SCRAPE_S = 15
 SERIES = "series"
@@ -75,3 +75,58 @@ def plot(
     if panel.shape == "rate":
         return rates
     return sum_rates(rates, list(panel.by), "value")
+
+
+def plot_all(
+    samples: DataFrame, panels: list[Panel] = PANELS, prefix: str = "", step_s: int = SCRAPE_S
+) -> DataFrame:
+    """All panels in one pass over the samples: (title, legend, series, ts, value).
+
+    ``series`` is the text of the labels that a panel keeps: all of them for a rate, those of
+    ``by`` else. Panels of the same metric share slot summaries, those of the same window rates too.
+    """
+    labels = sorted({name for p in panels for name in p.by} | {"le"})
+    series = ["metric", SERIES, *labels]
+    wanted = samples.filter(F.col("metric").isin(sorted({prefix + p.metric for p in panels})))
+    chosen = with_series(wanted).select(
+        "metric", SERIES, "ts", "value", *[F.col("labels")[name].alias(name) for name in labels]
+    )
+    by_metric: dict[str, list[Panel]] = {}
+    for panel in panels:
+        by_metric.setdefault(prefix + panel.metric, []).append(panel)
+
+    def of_metric(entries) -> Column:
+        first, *others = by_metric
+        found = F.when(F.col("metric") == first, F.array(*entries(by_metric[first])))
+        for name in others:
+            found = found.when(F.col("metric") == name, F.array(*entries(by_metric[name])))
+        return found
+
+    windows = of_metric(lambda found: [F.lit(w).cast("long") for w in sorted({p.window_s for p in found})])
+    drawn = of_metric(lambda found: [_entry(p) for p in found])
+    shared = rates(chosen, series, windows, step_s, out="value").select(
+        "ts", "value", "le", "window_s", F.explode(drawn).alias("p")
+    ).filter(F.col("p.window_s") == F.col("window_s"))
+    names = ["title", "legend", SERIES, "phi", "ts"]
+    summed = shared.select("p.title", "p.legend", f"p.{SERIES}", "p.phi", "ts", "value",
+                           F.when(F.col("p.phi").isNotNull(), F.col("le")).alias("le"))
+    summed = sum_rates(summed, ["title", "legend", SERIES, "phi", "le"], "value")
+    # a panel without phi has one row per moment, whose value goes past the quantile
+    plain = summed.withColumns({
+        "plain": F.when(F.col("phi").isNull(), F.col("value")), "le": le_bound(F.col("le"))
+    })
+    bent = histogram_quantile(plain, [*names, "plain"], F.col("phi"), count="value")
+    return bent.select(
+        "title", "legend", SERIES, "ts",
+        F.when(F.col("phi").isNull(), F.col("plain")).otherwise(F.col("quantile")).alias("value"),
+    )
+
+
+def _entry(panel: Panel) -> Column:
+    """A panel as a struct, with the text of the labels it keeps of a series."""
+    kept = F.concat_ws(",", *[F.concat(F.lit(f"{name}="), F.coalesce(F.col(name), F.lit(""))) for name in panel.by])
+    return F.struct(
+        F.lit(panel.title).alias("title"), F.lit(panel.legend).alias("legend"),
+        F.lit(panel.window_s).cast("long").alias("window_s"), F.lit(panel.phi).cast("double").alias("phi"),
+        (F.col(SERIES) if panel.shape == "rate" else kept if panel.by else F.lit("")).alias(SERIES),
+    )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -1113,3 +1114,23 @@ def ts_panels_quantile(spark, sf_dir):
     panel = _panel("batch size", "p95")
     rows = latency_counter(logs(spark, sf_dir))
     return _plotted(rows, ["service", "le"], panel, DAY)
+
+
+@query
+def ts_panels_all(spark, sf_dir):
+    """Panels of every shape from one pass over the samples of all their metrics."""
+    counted = counter(logs(spark, sf_dir))
+    written, asked = _panel("events ingested", "events written/s"), _panel("questions", "questions/s")
+    low, high = _panel("batch size", "p50"), _panel("batch size", "p95")
+    found = _panel("anomalies detected", "by severity")
+    shown = [
+        *[replace(p, window_s=RATE_WINDOW_S) for p in (written, asked)],
+        *[replace(p, window_s=DAY) for p in (low, high, found)],
+    ]
+    samples = samples_of(latency_counter(logs(spark, sf_dir)), low.metric, ["service", "le"])
+    for rows, metric, labels in (
+        (counted, written.metric, ["service"]), (counted, asked.metric, ["service"]),
+        (_severity_rates(spark, sf_dir), found.metric, ["service", "anomaly_type", "severity"]),
+    ):
+        samples = samples.unionByName(samples_of(rows, metric, labels))
+    return rounded(panels.plot_all(samples, shown, step_s=RATE_STEP_S), "value")
