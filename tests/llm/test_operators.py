@@ -351,6 +351,24 @@ def test_siblings_of_the_best_container():
     assert lines[:2] == ["Title", "The lead."] and lines[-3:] == ["More", "One short section.", "Outro"] and len(lines) == 15
 
 
+BODY = "".join(f"<p>Paragraph {k} of the body, with a comma, and words enough.</p>" for k in range(10))
+
+
+@pytest.mark.parametrize("page, first, last", [
+    (f"<div id=wrap><div><h1>Title</h1></div><div><div class=body>{BODY}</div></div><p>Sign-off.</p></div>", ["Title"], ["Sign-off."]),
+    (f"<div id=wrap>Before, bare.<div class=body>{BODY}</div>After, <b>bare</b>.</div>", ["Before, bare."], ["After, bare."]),
+    (f"<div id=wrap><div>A short lead.</div><div class=body>{BODY}</div><figcaption>A caption.</figcaption></div>",
+     ["A short lead."], ["A caption."]),
+    (f"<div id=wrap><div class=body>{BODY}</div><div class=sidebar>Other things</div><ul><li><a href=x>Other page</a></li></ul></div>",
+     [], []),
+    (f"<body><div><h1>Title</h1></div><div class=body>{BODY}</div><div><a href=x>Other page</a> and</div></body>", ["Title"], []),
+    (f"<body><div><h1>Title</h1><article>{BODY}</article><div>(c) somebody</div></div></body>", ["Title"], []),
+])
+def test_what_stands_beside_the_article(page, first, last):
+    lines = html.main_text(page).split("\n")
+    assert lines == [*first, *[f"Paragraph {k} of the body, with a comma, and words enough." for k in range(10)], *last]
+
+
 @pytest.mark.parametrize("every", [3, 4, 5])
 def test_edited_copies_equal_brute_force(spark, every):
     rnd = random.Random(every)

@@ -2,8 +2,10 @@
 
 Paragraphs pass points for length and commas to their ancestors, which lose them by their
 share of link text. The best container is kept, and of its siblings the paragraphs, headings and
-containers of paragraphs that are not mostly links, without menus,
-headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments.
+containers of paragraphs or headings that are not mostly links, without menus,
+headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments. While the container
+has most of the text of what it is in, below the body, all that stands beside it is kept, bare
+text too, if it is not mostly links, and so on one level up.
 """
 
 from __future__ import annotations
@@ -187,8 +189,9 @@ def unwanted(tree: Tree, by_class: bool) -> list[bool]:
     return out
 
 
-def containers(tree: Tree, bad: list[bool]) -> list[int]:
-    """The best container and its siblings, by points; none if no text has any."""
+def containers(tree: Tree, bad: list[bool]) -> tuple[list[int], list[int]]:
+    """The best container and what stands beside it, by points, and the elements whose own bare text
+    stands beside it; none if no text has points."""
     n = len(tree.tag)
     size, commas, linked, own = [0] * n, [0] * n, [0] * n, [0] * n
     link = [False] * n
@@ -220,7 +223,7 @@ def containers(tree: Tree, bad: list[bool]) -> list[int]:
     sparse = [linked[k] <= LINKED * size[k] for k in range(n)]
     able = [k for k in range(n) if score[k] > 0 and not bad[k] and tree.tag[k] not in INLINE and tree.tag[k] != "html"]
     if not able:
-        return []
+        return [], []
     best = max(able, key=lambda k: (score[k], -k))
     up = best
     while up > 0:
@@ -228,9 +231,27 @@ def containers(tree: Tree, bad: list[bool]) -> list[int]:
             best = up
         up = tree.parent[up]
     if not best or tree.tag[best] == "body":
-        return [best]
-    beside = [k for k in range(1, n) if tree.parent[k] == tree.parent[best] and size[k] and not bad[k]]
-    return [k for k in beside if k == best or sparse[k] and (score[k] > 0 or says[k] or tree.tag[k] in HEADINGS)]
+        return [best], []
+    headed = [tree.tag[k] in HEADINGS and size[k] > 0 for k in range(n)]
+    for k in range(n - 1, 0, -1):
+        headed[tree.parent[k]] |= headed[k] and not bad[k]
+    children: list[list[int]] = [[] for _ in range(n)]
+    for k in range(1, n):
+        children[tree.parent[k]].append(k)
+    chosen, bare, at = [best], [], best
+    while at:
+        up = tree.parent[at]
+        whole = (tree.tag[at] not in ARTICLES and tree.tag[up] not in ("#root", "html", "body")
+                 and 2 * size[at] > size[up])
+        if at != best and not whole:
+            break
+        chosen += [k for k in children[up] if k != at and size[k] and not bad[k] and sparse[k]
+                   and (whole or score[k] > 0 or says[k] or headed[k])]
+        if not whole:
+            break
+        bare.append(up)
+        at = up
+    return chosen, bare
 
 
 def main_text(html: str | None) -> str:
@@ -240,10 +261,11 @@ def main_text(html: str | None) -> str:
     tree = build(html)
     for by_class in (True, False):
         bad = unwanted(tree, by_class)
-        if found := containers(tree, bad):
+        found, bare = containers(tree, bad)
+        if found:
             break
     keep = [False] * len(tree.tag)
-    chosen = set(found or [0])
+    chosen, bare = set(found or [0]), set(bare)
     keep[0] = 0 in chosen
     for k in range(1, len(keep)):
         keep[k] = (keep[tree.parent[k]] or k in chosen) and not bad[k]
@@ -253,7 +275,7 @@ def main_text(html: str | None) -> str:
             if parts and (line := " ".join("".join(parts).split())):
                 blocks.append(line)
             parts = []
-        elif keep[k]:
+        elif keep[k] or k in bare:
             parts.append(unescape(text))
     return "\n".join(blocks)
 
