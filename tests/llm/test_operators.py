@@ -151,6 +151,27 @@ def test_cuts_are_optimal():
         assert all(b - a <= 20 for a, b in zip([0, *cuts], cuts))
 
 
+def test_cuts_look_at_every_place():
+    """Any number of windows without a boundary between them, and every sentence end."""
+    rnd = random.Random(4)
+    for n in [1, 3, 20, 21, 40, *(rnd.randrange(2, 200) for _ in range(60))]:
+        costs = [rnd.choice([0, 2, 5, 5, 5, 5]) for _ in range(n + 1)]
+        best = [0] + [0] * n
+        for j in range(1, n + 1):
+            best[j] = min(best[max(j - 20, 0):j]) + 20 + costs[j]
+        marked = [0, *(k for k in range(1, n) if costs[k] < 5), n]
+        cuts, cost = packing.best_cuts(marked, [costs[k] for k in marked], 20, 5)
+        assert cost == best[n] - n and cuts[-1] == n and all(0 < b - a <= 20 for a, b in zip([0, *cuts], cuts))
+        assert cost == 20 * len(cuts) - n + sum(costs[c] for c in cuts)
+    # four full windows and no padding; with two in a row at most, a window more
+    assert packing.best_cuts([0, 1, 21, 41, 61, 80], [0, 5, 5, 5, 5, 0], 20, 3)[1] == 9
+    # sentences end at every 25th id, so only some of the ends that stand within 64 ids of each other make full windows
+    ids = np.where(np.arange(1, 2_001) % 25 == 0, 1, 0).astype("<u4")
+    packer = packing.Packer(np.array([False, True]), 100, 4, 8, 0, False)
+    pieces = [*packer.add(7, ids), *packer.cut()]
+    assert [p[2] for p in pieces] == [100] * 20 and [p[1] for p in pieces] == [*range(0, 2_000, 100)]
+
+
 def test_lines(spark):
     line = "the quick brown fox jumped over the seven lazy dogs where they were sleeping near the old stone bridge " * 3
     edited = line[:150] + "X" + line[151:]

@@ -1,14 +1,13 @@
 """Packing documents into fixed-length training sequences, in order.
 
-The token stream of a partition is cut into windows by dynamic programming. A window pays
-one unit for each token of padding, and its end pays a penalty that depends on what it
+The token stream of a partition is cut into windows by dynamic programming over all its places. A window
+pays one unit for each token of padding, and its end pays a penalty that depends on what it
 truncates: nothing at the end of a document, little at the end of a sentence, more elsewhere.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,11 +21,9 @@ from .tokens import encode_in_slices, worker_encoder
 
 LENGTH = 2048
 SENTENCE_COST, CUT_COST = 4, 8
-#: One sentence end in so many tokens is looked at; document ends all are.
-SENTENCE_GAP = 64
-#: Windows that may follow each other without a boundary between them.
-RUN = 2
-#: Tokens for which cuts are chosen at a time.
+#: More than any sum of penalties.
+NEVER = 1 << 60
+#: Tokens for which cuts are chosen at a time, of all their places; the best sum for more at a time is less by at most a window's.
 SEGMENT = 1 << 21
 SCHEMA = pa.schema([
     ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()),
@@ -34,63 +31,69 @@ SCHEMA = pa.schema([
 ])
 
 
+def values(costs: np.ndarray, length: int) -> np.ndarray:
+    """The least sum of windows' lengths and penalties up to each place; costs[p] is the penalty of ending at p.
+
+    Places are taken in blocks of one window's length. The windows that end in a block begin in the block before,
+    from some place on (a running minimum from its end), or in the block itself. Of those, only windows that
+    begin where one from the block before ends matter, as two windows within one block could be one.
+    """
+    n = len(costs)
+    out = np.zeros(n, np.int64)
+    before = np.full(length, NEVER, np.int64)
+    before[-1] = 0
+    for k in range(1, n, length):
+        price = costs[k:k + length] + length
+        now = np.minimum.accumulate(before[::-1])[::-1][:len(price)]
+        inside = np.minimum.accumulate(now + price)
+        now[1:] = np.minimum(now[1:], inside[:-1])
+        before = out[k:k + length] = now + price
+    return out
+
+
+def previous(value: np.ndarray, place: int, length: int) -> int:
+    """Where the window that ends at a place begins: of the best places the last."""
+    least = max(place - length, 0)
+    return place - 1 - int(value[least:place][::-1].argmin())
+
+
+def cuts_to(value: np.ndarray, place: int, length: int) -> list[int]:
+    """Window ends of the best way to a place."""
+    cuts = []
+    while place:
+        cuts.append(place)
+        place = previous(value, place, length)
+    return cuts[::-1]
+
+
 def best_cuts(places: list[int], costs: list[int], length: int = LENGTH, cut_cost: int = CUT_COST,
-              run: int = RUN) -> tuple[list[int], int]:
-    """Window ends from places[0] to places[-1] of least padding plus penalties, and that sum.
+              run: int | None = None) -> tuple[list[int], int]:
+    """Window ends from 0 to places[-1] of least padding plus penalties, and that sum.
 
-    places: boundaries in ascending order, at most length apart; costs: the penalty of ending
-    at each. Between two chosen boundaries lie up to `run` windows, of which all but the last
-    are full and pay cut_cost. For each number of windows, the boundaries in reach form a sliding
-    range whose least value a monotone queue keeps.
+    places: boundaries in ascending order from 0; costs: the penalty of ending at each. A window may end at
+    any other place for cut_cost. With a run, only full windows may, at most `run` of which, the last
+    full or not, lie between two chosen boundaries; the boundaries are then at most length apart.
     """
-    n = len(places)
-    value, key, parent, windows = [0] * n, [places[0]] * n, [0] * n, [0] * n
-    queues = [deque() for _ in range(run)]
-    entered = [0] * run
-    for j in range(1, n):
-        here = places[j]
-        best = None
-        for w in range(run):
-            queue, least = queues[w], here - w * length
-            at = entered[w]
-            while at < j and places[at] < least or at < j and w == 0:
-                k = key[at]
-                while queue and key[queue[-1]] >= k:
-                    queue.pop()
-                queue.append(at)
-                at += 1
-            entered[w] = at
-            oldest = least - length
-            while queue and places[queue[0]] < oldest:
-                queue.popleft()
-            if queue:
-                cost = key[queue[0]] + (w + 1) * length + w * cut_cost - here
-                if best is None or cost < best:
-                    best, parent[j], windows[j] = cost, queue[0], w + 1
-        value[j] = best + costs[j]
-        key[j] = value[j] + here
-    cuts, j = [], n - 1
+    end = places[-1]
+    if run is None:
+        dense = np.full(end + 1, cut_cost, np.int64)
+        dense[places] = costs
+        value = values(dense, length)
+        return cuts_to(value, end, length), int(value[end]) - end
+    spots = np.array(places, np.int64)
+    value, parent = np.zeros(len(spots), np.int64), np.zeros(len(spots), np.int64)
+    for j in range(1, len(spots)):
+        first = int(np.searchsorted(spots, spots[j] - run * length))
+        windows = -((spots[first:j] - spots[j]) // length)
+        sums = value[first:j] + windows * (length + cut_cost)
+        parent[j] = first + int(sums.argmin())
+        value[j] = sums.min() - cut_cost + costs[j]
+    cuts, j = [], len(spots) - 1
     while j:
-        i = parent[j]
-        cuts.append(places[j])
-        cuts += [places[i] + w * length for w in range(windows[j] - 1, 0, -1)]
+        i = int(parent[j])
+        cuts += [places[j], *range(places[i] + (places[j] - places[i] - 1) // length * length, places[i], -length)]
         j = i
-    return cuts[::-1], value[-1]
-
-
-def boundaries(doc_ends: np.ndarray, sentence_ends: np.ndarray, end: int, length: int, cut_cost: int,
-               sentence_cost: int) -> tuple[list[int], list[int]]:
-    """Places from 0 to end, no more than length apart, and their penalties."""
-    places = np.unique(np.concatenate([[0, end], doc_ends, sentence_ends]).astype(np.int64))
-    gaps = np.diff(places)
-    for k in np.flatnonzero(gaps > length).tolist():
-        places = np.concatenate([places, np.arange(places[k] + length, places[k + 1], length)])
-    places = np.unique(places)
-    costs = np.full(len(places), cut_cost)
-    costs[np.isin(places, sentence_ends)] = sentence_cost
-    costs[np.isin(places, doc_ends)] = 0
-    costs[-1] = 0
-    return places.tolist(), costs.tolist()
+    return cuts[::-1], int(value[-1]) - end
 
 
 class Packer:
@@ -115,11 +118,10 @@ class Packer:
         if not self.docs:
             return
         ids = np.concatenate([d[2] for d in self.docs])
-        doc_ends = np.cumsum([len(d[2]) for d in self.docs])
-        sentences = np.flatnonzero(self.ends_sentence[ids]) + 1
-        sentences = sentences[np.append(np.diff(sentences // SENTENCE_GAP) > 0, True)[:len(sentences)]]
-        places, costs = boundaries(doc_ends, sentences, len(ids), self.length, self.cut_cost, self.sentence_cost)
-        cuts, _ = best_cuts(places, costs, self.length, self.cut_cost)
+        costs = np.full(len(ids) + 1, self.cut_cost, np.int64)
+        costs[1:][self.ends_sentence[ids]] = self.sentence_cost
+        costs[np.cumsum([len(d[2]) for d in self.docs])] = 0
+        cuts = cuts_to(values(costs, self.length), len(ids), self.length)
         if not last:
             cuts = [c for c in cuts if c <= len(ids) - 4 * self.length]
         at, d, used = 0, 0, 0  # place in ids; document and its ids placed in this round
