@@ -476,3 +476,51 @@ def test_lines_of_one_template_equal_brute_force(spark):
         for i, j in near:
             parent[i] = parent[j] = min(parent[i], parent[j])
     assert sum(got[i] != parent[i] for i in range(len(lines))) <= 0.05 * len(lines)
+
+
+def test_lines_far_from_their_hub_meet_by_what_they_share(spark):
+    """Many lines near to nobody under one hub, some families of near lines, and some that are all near to what is usual."""
+    rnd = random.Random(21)
+    word = lambda: "".join(rnd.choices("abcdefghijklmnop", k=7))
+    base = [word() for _ in range(60)]
+
+    def edited(words, count, places=range(60)):
+        out = list(words)
+        for at in rnd.sample(list(places), count):
+            out[at] = word()
+        return out
+
+    lines = [edited(base, 10) for _ in range(150)]
+    for head in lines[:6]:
+        lines += [edited(head, 2) for _ in range(3)]
+    lines += [edited(base, 1) for _ in range(40)]
+    lines = [" ".join(x) for x in lines]
+    hub = len(lines)
+    lines.append(" ".join([*base[:45], *(word() for _ in range(15))]))
+
+    def grams(text):
+        return {text[i:i + 8] for i in range(len(text) - 7)}
+
+    sets = [grams(x) for x in lines]
+    near = {(i, j) for i in range(hub) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    assert not any(len(s & sets[hub]) >= 0.8 * len(s | sets[hub]) for s in sets[:hub]) and len(near) > 700
+    first = spark.createDataFrame([(i, hub, lines[i].encode(), lines[hub].encode(), False) for i in range(hub)],
+                                  "a long, b long, key_a binary, key_b binary, near boolean")
+    texts = spark.createDataFrame([(i, x.encode(), x) for i, x in enumerate(lines)], "id long, key binary, line string")
+    none = spark.createDataFrame([], "key binary, component binary")
+    found = {tuple(sorted((r.a, r.b), reverse=True)) for r in line_dedup.crossing(first, texts, none, 0.8).collect()}
+
+    def roots(pairs):
+        parent = list(range(hub))
+
+        def root(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for i, j in pairs:
+            parent[max(root(i), root(j))] = min(root(i), root(j))
+        return [root(x) for x in range(hub)]
+
+    assert roots(near & found) == roots(near) and len(set(roots(near))) > 100
+    assert len(found) < 1_000  # of 21,528 pairs, and fewer than the near ones alone with those of the usual lines
