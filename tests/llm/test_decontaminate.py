@@ -93,3 +93,20 @@ def test_passages_hold_every_alignment():
             reach = decontaminate.margin_of(words)
             begin, end = max(d - reach, 0), d + words + reach
             assert any(a <= begin and min(end, max(p[0] for p in places) + words + reach) <= z for a, z in ranges)
+
+
+def test_words_of_many_texts_at_once():
+    """Places and equality of word hashes are those of the words in lower case, whatever the letters and lengths."""
+    rnd = random.Random(5)
+    letters = "abXYZ_9éÑİΣσς'٣𝒜𐐀ßﬁǅ̇K中.,\n" + " " * 12
+    texts = ["".join(rnd.choices(letters, k=rnd.randrange(60))) for _ in range(300)]
+    texts += ["", "x" * 200_000 + " a" * 40_000 + " " + "y" * 70_000 + " X Y", "ΟΔΟΣ οδος ΟΔΟΣΑ İ i̇"]
+    seen = {}
+    words, starts = decontaminate.joined(texts)
+    for text, at, end in zip(texts, starts.tolist(), starts[1:].tolist()):
+        hashes, begins, ends = decontaminate.word_hashes(text)
+        assert [m.span() for m in decontaminate.WORD.finditer(text)] == list(zip(begins.tolist(), ends.tolist()))
+        assert words[at:end].tolist() == [*hashes.tolist(), 0]
+        for word, h in zip(words_of(text), hashes.tolist()):
+            assert seen.setdefault(word, h) == h != 0
+    assert len(set(seen.values())) == len(seen)

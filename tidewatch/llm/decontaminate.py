@@ -11,9 +11,11 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,8 +37,15 @@ MATCH, MISMATCH, GAP = 2, -1, -1
 MARGIN = 10
 #: N-grams that are sent to the tasks one by one at most; beyond that a bitmap alone sorts out, and the join decides.
 LISTED = 2_000_000
-#: Words whose hash a task remembers.
-KNOWN_WORDS = 500_000
+#: Items that a task keeps ready.
+KNOWN_ITEMS = 1_000
+#: Characters that are hashed at a time, and of texts that are put together for it.
+BLOCK, TOGETHER = 1 << 16, 1 << 18
+#: Upper-case letters whose lower case depends on their word or is more than one character.
+ODD_CASE = ("\u0130", "\u03a3")
+#: Odd multiplier of one place of a word, and its inverse modulo 2**64.
+PLACE = 0x9E3779B97F4A7C15
+PLACE_INVERSE = pow(PLACE, -1, 1 << 64)
 
 U = np.uint64
 HITS = pa.schema([("doc_id", pa.int64()), ("doc_key", pa.int64()), ("gram", pa.int64()), ("at", pa.int64())])
@@ -47,21 +56,66 @@ ALIGNED = pa.schema([("doc_id", pa.int64()), ("doc_key", pa.int64()), ("item_id"
                      ("start", pa.int64()), ("end", pa.int64())])
 
 
-class WordHashes(dict):
-    """64 bits for each word in lower case, never 0; remembered up to a bound."""
-
-    def __missing__(self, word: str) -> int:
-        from xxhash import xxh64_intdigest
-
-        if len(self) >= KNOWN_WORDS:
-            self.clear()
-        self[word] = h = xxh64_intdigest(word.lower().encode("utf-8", "surrogatepass")) or 1
-        return h
+@lru_cache(2)
+def letters(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each code point under n, whether it is part of a word, and 64 bits for its lower case."""
+    chars = [chr(i) for i in range(n)]
+    wordy = np.array([c.isalnum() or c == "_" for c in chars])
+    bits = np.array([ord(c.lower()[0]) for c in chars], U) + U(1)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        bits *= U(0x9E3779B97F4A7C15)
+        bits = (bits ^ (bits >> U(shift))) * U(factor)
+    return wordy, bits ^ (bits >> U(31))
+
+
+@lru_cache(1)
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of PLACE and of its inverse."""
+    out = [np.full(n, x, U) for x in (PLACE, PLACE_INVERSE)]
+    for p in out:
+        p[:1] = 1
+        np.cumprod(p, out=p)
+    return out[0], out[1]
+
+
+def codes_of(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The code points of a text, and the tables of letters that cover them."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    return codes, *letters(0x110000 if len(codes) and codes.max() > 0xFFFF else 0x10000)
+
+
+def spelled(codes: np.ndarray, bits: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64 bits for each word, a range of code points, never 0: the sum of its letters' bits times powers of PLACE."""
+    out, i = np.empty(len(begins), U), 0
+    while i < len(begins):
+        first = int(begins[i])
+        j = max(int(np.searchsorted(ends, first + BLOCK, "right")), i + 1)
+        n = int(ends[j - 1]) - first
+        # a word longer than a block stands alone
+        up, down = powers(BLOCK) if n <= BLOCK else powers.__wrapped__(n)
+        sums = np.zeros(n + 1, U)
+        np.cumsum(bits[codes[first:first + n]] * up[:n], out=sums[1:])
+        at = begins[i:j] - first
+        out[i:j] = (sums[ends[i:j] - first] - sums[at]) * down[at]
+        i = j
+    out[out == 0] = 1
+    return out
 
 
-def hashes_of(text: str, known: WordHashes) -> np.ndarray:
-    words = WORD.findall(text)
-    return np.fromiter(map(known.__getitem__, words), U, len(words))
+def word_hashes(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64 bits for each word in lower case, and where it begins and ends."""
+    codes, wordy, bits = codes_of(text)
+    inside = np.zeros(len(codes) + 2, bool)
+    inside[1:-1] = wordy[codes]
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    begins, ends = edges[::2], edges[1::2]
+    out = spelled(codes, bits, begins, ends)
+    if any(c in text for c in ODD_CASE):
+        odd = np.flatnonzero(np.isin(codes, [ord(c) for c in ODD_CASE]))
+        for k in np.unique(np.searchsorted(begins, odd, "right") - 1).tolist():
+            own, _, own_bits = codes_of(text[begins[k]:ends[k]].lower())
+            out[k] = spelled(own, own_bits, np.array([0]), np.array([len(own)]))[0]
+    return out, begins, ends
 
 
 def gram_hashes(words: np.ndarray) -> list[np.ndarray]:
@@ -112,13 +166,22 @@ def matches(words: np.ndarray, wanted: Wanted) -> Iterator[tuple[np.ndarray, np.
         yield grams, found
 
 
-def joined(texts: list[str], known: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+def joined(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of all texts with a 0 after each, and where each begins."""
-    parts = [hashes_of(t, known) for t in texts]
-    starts = np.cumsum([0, *(len(p) + 1 for p in parts)])
+    parts, sizes, first, chars = [], [], 0, 0
+    for i, text in enumerate(texts, 1):
+        chars += len(text) + 1
+        if chars >= TOGETHER or i == len(texts):
+            hashes, begins, _ = word_hashes("\n".join(texts[first:i]))
+            ends = np.cumsum([len(t) + 1 for t in texts[first:i]])
+            sizes.append(np.diff(np.searchsorted(begins, ends), prepend=0))
+            parts.append(hashes)
+            first, chars = i, 0
+    words = np.concatenate([*parts, np.zeros(0, U)])
+    counts = np.concatenate([*sizes, np.zeros(0, np.int64)])
+    starts = np.concatenate([[0], np.cumsum(counts + 1)])
     out = np.zeros(max(int(starts[-1]), GRAM), U)
-    for p, at in zip(parts, starts.tolist()):
-        out[at:at + len(p)] = p
+    out[np.arange(len(words)) + np.repeat(np.arange(len(counts)), counts)] = words
     return out, starts
 
 
@@ -126,10 +189,9 @@ def item_grams(items: DataFrame) -> DataFrame:
     """item, place, n, words (those of the item) and gram of every n-gram of the items."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
         for b in batches:
             for item, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                words, _ = joined([text], known)
+                words, _ = joined([text])
                 size = int((words != 0).sum())
                 for n, grams in enumerate(gram_hashes(words[:size]) if size else [], 1):
                     m = max(size - n + 1, 0)
@@ -142,9 +204,8 @@ def background(rows: DataFrame, wanted: Wanted) -> DataFrame:
     """gram, f: how often the wanted n-grams occur without being part of a longer one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
         for b in batches:
-            words, _ = joined(b.column(2).to_pylist(), known)
+            words, _ = joined(b.column(2).to_pylist())
             levels = list(matches(words, wanted))
             for n, (grams, found) in enumerate(levels):
                 alone = found.copy()
@@ -177,9 +238,8 @@ def seed_hits(rows: DataFrame, wanted: Wanted) -> DataFrame:
     """doc_id, doc_key, gram and at (the word it begins at) for all places of seeds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
         for b in batches:
-            words, starts = joined(b.column(2).to_pylist(), known)
+            words, starts = joined(b.column(2).to_pylist())
             for grams, found in matches(words, wanted):
                 at = np.flatnonzero(found)
                 if len(at):
@@ -202,19 +262,37 @@ def passages(places: list[tuple[int, int, int]], words: int, score: float = SCOR
     places: diagonal, place in the item and length of each seed. A range of more than two alignments'
     reach is cut into overlapping ones that together hold every alignment.
     """
-    reach = margin_of(words)
-    step = max(words + MATCH * words // -GAP, words + 2 * reach)
-    group: list[tuple[int, int, int]] = []
-    for place in [*sorted(places), None]:
-        if group and (place is None or place[0] - group[-1][0] > reach):
-            covered = {p + k for _, p, n in group for k in range(n)}
-            if len(covered) >= min(2, -(-score * words // 1)):
-                begin, end = group[0][0] - reach, group[-1][0] + words + reach
-                for k in range(begin, max(end - step, begin + 1), step):
-                    yield max(k, 0), min(k + 2 * step, end)
-            group = []
-        if place is not None:
-            group.append(place)
+    columns = np.array(places, np.int64).reshape(-1, 3).T
+    _, begins, ends = all_passages(np.array([len(places)]), *columns, np.array([words]), score)
+    return zip(begins.tolist(), ends.tolist())
+
+
+def all_passages(counts: np.ndarray, diagonals: np.ndarray, places: np.ndarray, lengths: np.ndarray, words: np.ndarray,
+                 score: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, begin and end of the passages of many rows, counts[i] seeds of an item of words[i] words in row i."""
+    row = np.repeat(np.arange(len(counts)), counts)
+    order = np.lexsort((diagonals, row))
+    diagonals, places, lengths = diagonals[order], places[order], lengths[order]
+    reach = np.maximum(MARGIN, words // 4)
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (diagonals[1:] - diagonals[:-1] > reach[row[1:]])
+    first = np.flatnonzero(new)
+    if not len(first):
+        return row, diagonals, diagonals
+    last = np.append(first[1:], len(row)) - 1
+    row = row[first]
+    # two different words of the item are under seeds, or one is enough
+    several = (np.maximum.reduceat(lengths, first) > 1) | (np.maximum.reduceat(places, first) > np.minimum.reduceat(places, first))
+    good = several | (np.ceil(score * words[row]) < 2)
+    row, first, last = row[good], first[good], last[good]
+    size, reach = words[row], reach[row]
+    step = np.maximum(size + MATCH * size // -GAP, size + 2 * reach)
+    begin, end = diagonals[first] - reach, diagonals[last] + size + reach
+    cuts = np.maximum(-((begin + step - end) // step), 1)
+    at = np.repeat(np.arange(len(row)), cuts)
+    turn = np.arange(len(at)) - np.repeat(np.cumsum(cuts) - cuts, cuts)
+    begins = begin[at] + turn * step[at]
+    return row[at], np.maximum(begins, 0), np.minimum(begins + 2 * step[at], end[at])
 
 
 def spots(hits: DataFrame, seeds: DataFrame, score: float) -> DataFrame:
@@ -228,11 +306,13 @@ def spots(hits: DataFrame, seeds: DataFrame, score: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for doc_id, key, item, words, places in zip(*(c.to_pylist() for c in b.columns)):
-                found = passages([(p["d"], p["place"], p["n"]) for p in places], words, score)
-                out += [(doc_id, key, item, begin, end) for begin, end in found]
-            yield batch(SPOTS, *(zip(*out) if out else [()] * 5))
+            places = b.column(4)
+            counts = pc.list_value_length(places).to_numpy(zero_copy_only=False).astype(np.int64)
+            seeded = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in places.flatten().flatten()]
+            words = b.column(3).to_numpy(zero_copy_only=False).astype(np.int64)
+            row, begins, ends = all_passages(counts, *seeded, words, score)
+            at = pa.array(row)
+            yield pa.RecordBatch.from_arrays([*[b.column(k).take(at) for k in range(3)], pa.array(begins), pa.array(ends)], schema=SPOTS)
 
     return map_texts(met, run, "doc_id long, doc_key long, item long, begin long, end long")
 
@@ -266,6 +346,22 @@ def align(item: list, words: list) -> tuple[float, int, int]:
     return score / (MATCH * len(item)), end - length, end
 
 
+class Item:
+    """A test item's words, and their hashes with how often each is there."""
+
+    def __init__(self, text: str):
+        self.words = words_of(text)
+        self.hashes, self.counts = np.unique(word_hashes(text)[0], return_counts=True)
+
+    def shared(self, hashes: np.ndarray) -> int:
+        """How many of the item's words can have a partner, each with one of its own."""
+        if not len(self.hashes):
+            return 0
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        held = np.bincount(at[self.hashes[at] == hashes], minlength=len(self.hashes))
+        return int(np.minimum(held, self.counts).sum())
+
+
 def words_of(text: str) -> list[str]:
     return [w.lower() for w in WORD.findall(text)]
 
@@ -274,20 +370,20 @@ def aligned(found: DataFrame, score: float) -> DataFrame:
     """Alignments that reach the score; found: doc_id, doc_key, text and asked, items with their ranges of words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        item_of = lru_cache(KNOWN_ITEMS)(Item)
         for b in batches:
             out = []
             for doc_id, key, text, asked in zip(*(c.to_pylist() for c in b.columns)):
-                edges = [m.span() for m in WORD.finditer(text)]
-                words = [text[s:e].lower() for s, e in edges]
+                hashes, begins, ends = word_hashes(text)
                 for a in asked:
-                    item, part = words_of(a["text"]), words[a["begin"]:a["end"]]
-                    own = set(item)
-                    if sum(w in own for w in part) < score * len(item) - 1e-9:
+                    item, first, last = item_of(a["text"]), a["begin"], a["end"]
+                    if item.shared(hashes[first:last]) < score * len(item.words) - 1e-9:
                         continue
-                    share, first, last = align(item, part)
+                    part = [text[s:e].lower() for s, e in zip(begins[first:last].tolist(), ends[first:last].tolist())]
+                    share, first, last = align(item.words, part)
                     if share >= score and last > first:
                         first, last = first + a["begin"], last + a["begin"]
-                        out.append((doc_id, key, a["item_id"], share, edges[first][0], edges[last - 1][1]))
+                        out.append((doc_id, key, a["item_id"], share, int(begins[first]), int(ends[last - 1])))
             yield batch(ALIGNED, *(zip(*out) if out else [()] * 6))
 
     return map_texts(found, run, "doc_id long, doc_key long, item_id long, score double, start long, end long")
