@@ -94,6 +94,28 @@ def test_chunks_encode_like_whole_texts(name):
     assert got == [tokens.as_bytes(whole.encode(t, add_special_tokens=False).ids) for t in texts]
 
 
+@pytest.mark.parametrize("name", [tokens.BYTE_BPE, tokens.WORD_BPE])
+def test_chunks_by_hash_with_any_room(name, monkeypatch):
+    """Ids are right without room for chunks, with some, and where different chunks have one hash."""
+    rnd = random.Random(6)
+    parts = [*" \n ab.,'é中𝒜\u0301", "ing", "the ", ". ", ",\n", '"x', "a.b ", "don't ", "\xa0"]
+    path = tokens.tokenizer_path(name)
+    whole, tables = tokens.load(path), tokens.tables
+    for room, bits in ((0, None), (40, None), (40, 0), (40, 1), (600_000, None)):
+        monkeypatch.setattr(tokens, "CACHE_CHUNKS", room)
+        same = lambda n: [t if i != bits else t * 0 for i, t in enumerate(tables(n)[1:])]
+        monkeypatch.setattr(tokens, "tables", lambda n: (tables(n)[0], *same(n)))
+        encoder = tokens.ChunkEncoder(path)
+        for _ in range(4):
+            texts = ["".join(rnd.choices(parts, k=rnd.randrange(40))) for _ in range(100)]
+            assert encoder.encode(texts) == [tokens.as_bytes(whole.encode(t, add_special_tokens=False).ids) for t in texts]
+            assert len(encoder.keys) <= room and (np.diff(encoder.keys.astype(float)) >= 0).all()
+    texts = ["one two, three.", "", "\n"]
+    begins, ends, counts = tokens.chunks_of(
+        texts, tokens.code_points("".join(t + "\n" for t in texts)), tables(0x10000)[0], name == tokens.BYTE_BPE)
+    assert counts.tolist() == [5, 0, int(name == tokens.BYTE_BPE)] and (ends - begins)[[2, 4]].tolist() == [1, 1]
+
+
 @pytest.mark.parametrize("ids", [[5], [7] * 10, list(range(70_000)), [0, 2**32 - 1, 3], [2**31] * 3 + [0]])
 def test_blocks_round_trip(ids):
     ids = np.array(ids, np.uint32)

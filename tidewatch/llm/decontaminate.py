@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import batch, bitmap_of, map_texts, stored
+from .spelling import code_points, random_bits, spelled, table_size
 
 WORD = re.compile(r"\w+")
 #: Words of the longest seeds.
@@ -39,13 +40,10 @@ MARGIN = 10
 LISTED = 2_000_000
 #: Items that a task keeps ready.
 KNOWN_ITEMS = 1_000
-#: Characters that are hashed at a time, and of texts that are put together for it.
-BLOCK, TOGETHER = 1 << 16, 1 << 18
+#: Characters of texts that are hashed together.
+TOGETHER = 1 << 18
 #: Upper-case letters whose lower case depends on their word or is more than one character.
 ODD_CASE = ("\u0130", "\u03a3")
-#: Odd multiplier of one place of a word, and its inverse modulo 2**64.
-PLACE = 0x9E3779B97F4A7C15
-PLACE_INVERSE = pow(PLACE, -1, 1 << 64)
 
 U = np.uint64
 HITS = pa.schema([("doc_id", pa.int64()), ("doc_key", pa.int64()), ("gram", pa.int64()), ("at", pa.int64())])
@@ -61,45 +59,13 @@ def letters(n: int) -> tuple[np.ndarray, np.ndarray]:
     """For each code point under n, whether it is part of a word, and 64 bits for its lower case."""
     chars = [chr(i) for i in range(n)]
     wordy = np.array([c.isalnum() or c == "_" for c in chars])
-    bits = np.array([ord(c.lower()[0]) for c in chars], U) + U(1)
-    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-        bits *= U(0x9E3779B97F4A7C15)
-        bits = (bits ^ (bits >> U(shift))) * U(factor)
-    return wordy, bits ^ (bits >> U(31))
-
-
-@lru_cache(1)
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of PLACE and of its inverse."""
-    out = [np.full(n, x, U) for x in (PLACE, PLACE_INVERSE)]
-    for p in out:
-        p[:1] = 1
-        np.cumprod(p, out=p)
-    return out[0], out[1]
+    return wordy, random_bits(np.array([ord(c.lower()[0]) for c in chars], U))
 
 
 def codes_of(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The code points of a text, and the tables of letters that cover them."""
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
-    return codes, *letters(0x110000 if len(codes) and codes.max() > 0xFFFF else 0x10000)
-
-
-def spelled(codes: np.ndarray, bits: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64 bits for each word, a range of code points, never 0: the sum of its letters' bits times powers of PLACE."""
-    out, i = np.empty(len(begins), U), 0
-    while i < len(begins):
-        first = int(begins[i])
-        j = max(int(np.searchsorted(ends, first + BLOCK, "right")), i + 1)
-        n = int(ends[j - 1]) - first
-        # a word longer than a block stands alone
-        up, down = powers(BLOCK) if n <= BLOCK else powers.__wrapped__(n)
-        sums = np.zeros(n + 1, U)
-        np.cumsum(bits[codes[first:first + n]] * up[:n], out=sums[1:])
-        at = begins[i:j] - first
-        out[i:j] = (sums[ends[i:j] - first] - sums[at]) * down[at]
-        i = j
-    out[out == 0] = 1
-    return out
+    codes = code_points(text)
+    return codes, *letters(table_size(codes))
 
 
 def word_hashes(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
