@@ -72,6 +72,17 @@ def test_simhash_links_equal_brute_force(spark, monkeypatch):
     assert {i: got.get(i, i) for i in range(len(fps))} == dict(enumerate(label))
 
 
+def test_simhash_keys_are_not_broadcast(spark, monkeypatch):
+    """64 rows of each fingerprint, which Spark sizes as one."""
+    plans = []
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(simhash, "stored", lambda df, purpose: plans.append(plan(df)) or df)
+    rows = simhash.stored(spark.range(100).selectExpr("id AS node", "id AS fp"), "fingerprints")
+    found = {tuple(sorted(r)) for r in simhash.links(rows, 1).collect()}
+    assert found and all((a ^ b).bit_count() == 1 for a, b in found)
+    assert "SortMergeJoin" in plans[-1] and "Broadcast" not in plans[-1]
+
+
 def test_simhash_edges(spark):
     rows = simhash.near_duplicates(documents(spark, ODD)).collect()
     assert len(rows) == len(ODD)

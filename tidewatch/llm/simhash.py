@@ -118,7 +118,8 @@ def links(marked: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
         F.col("bit").cast("byte").alias("bit"), F.col("fp").bitwiseAND(F.col("mask")).alias("part"), "node", "fp"
     )
     shared = keyed.groupBy("bit", "part").agg(F.count("*").alias("n")).where("n > 1")
-    found = stored(keyed.join(shared, ["bit", "part"]), "simhash-keys")
+    # Spark takes the exploded rows for as many as there were before, and would broadcast them all
+    found = stored(keyed.hint("merge").join(shared, ["bit", "part"]), "simhash-keys")
     member = F.struct("node", "fp")
     small = found.where(F.col("n") <= TILE).groupBy("bit", "part").agg(F.collect_list(member).alias("members"))
     slices = F.ceil(F.col("n") / TILE)
